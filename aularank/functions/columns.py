@@ -61,9 +61,57 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num, F.when(den != 0, den)), F.lit(0.0))
 
 
+def round_half_away(col: Column, decimals: int) -> Column:
+    """Round a double to ``decimals`` places: scale, round half away from zero, unscale.
+
+    Spark's ``round`` rounds the shortest decimal string half-up
+    (``round(1.005, 2) = 1.01``); this rounds the scaled binary value, as SQL
+    engines such as DuckDB/PostgreSQL do (``1.00``).  Exact ties agree.
+    """
+    scale = float(10 ** decimals)
+    v = F.abs(col.cast("double")) * F.lit(scale)
+    fl = F.floor(v).cast("double")
+    r = fl + F.when(v - fl >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(col.isNull(), F.lit(None).cast("double")).otherwise(
+        F.when(col < 0, -r).otherwise(r) / F.lit(scale))
+
+
+def _two_product_error(a: Column, b: float, p: Column) -> Column:
+    """Exact error of ``p = fl(a * b)`` (Dekker/Veltkamp), so a*b == p + err."""
+    split = F.lit(134217729.0)  # 2^27 + 1
+    c = split * a
+    ah = c - (c - a)
+    al = a - ah
+    cb = 134217729.0 * b
+    bh = cb - (cb - b)
+    bl = b - bh
+    return (((ah * F.lit(bh)) - p) + (ah * F.lit(bl)) + (al * F.lit(bh))) + (al * F.lit(bl))
+
+
 def fmt_fixed(col: Column, decimals: int) -> Column:
-    """Python ``f"{x:.Nf}"`` for finite doubles (half-even on the decimal value, Q8)."""
-    return F.format_string(f"%.{decimals}f", F.bround(col.cast("double"), decimals))
+    """Python ``f"{x:.Nf}"``: the exact binary value rounded half-even.
+
+    Java's formatter rounds the shortest decimal string half-up (4.25 -> "4.3",
+    2.55 -> "2.6"); Python and C printf round the exact value ("4.2", "2.5").
+    The side of the decimal midpoint is decided exactly with an error-free
+    product, then digits are printed from integers.
+    """
+    scale = float(10 ** decimals)
+    x = F.abs(col.cast("double"))
+    p = x * F.lit(scale)
+    fl = F.floor(p).cast("double")
+    diff = (p - (fl + F.lit(0.5))) + _two_product_error(x, scale, p)
+    odd = F.pmod(fl, F.lit(2.0)) == 1.0
+    up = F.when(diff > 0, True).when(diff < 0, False).otherwise(odd)
+    d = (fl + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))).cast("decimal(38,0)")
+    sign = F.when((col < 0) & (d > 0), F.lit("-")).otherwise(F.lit(""))
+    if decimals == 0:
+        body = d.cast("string")
+    else:
+        q = F.floor(d / F.lit(int(scale))).cast("decimal(38,0)")
+        rem = (d - q * F.lit(int(scale))).cast("long")
+        body = F.concat(q.cast("string"), F.lit("."), F.lpad(rem.cast("string"), decimals, "0"))
+    return F.when(col.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, body))
 
 
 def fmt_int_like(col: Column) -> Column:

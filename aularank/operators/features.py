@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aularank.functions.columns import clip, safe_ratio
+from aularank.functions.columns import clip, safe_ratio, round_half_away
 
 USER = "USUARIO_DOCUMENTO"
 COURSE = "ID_OFERTA_FORMATIVA"
@@ -52,7 +52,7 @@ def course_catalog(enrol: DataFrame) -> DataFrame:
         clip(F.coalesce(F.col("CALIFICACION_PROM"), F.lit(0.0)) / 5.0, 0.0, 1.0).alias("CALIFICACION_NORM"),
     ).withColumn(
         "SCORE_POPULARIDAD",
-        F.round(F.col("TASA_CULMINACION") * F.col("CALIFICACION_NORM") * F.log1p(n.cast("double")), 4),
+        round_half_away(F.col("TASA_CULMINACION") * F.col("CALIFICACION_NORM") * F.log1p(n.cast("double")), 4),
     )
     # Global newest year over every course (inactive too): a one-row aggregate,
     # so the broadcast is bounded by construction.
@@ -81,7 +81,7 @@ def user_profile(enrol: DataFrame) -> DataFrame:
         F.sum("APROBACION").alias("CURSOS_APROBADOS"),
     )
     return p.withColumn(
-        "TASA_COMPLETITUD", F.round(safe_ratio(F.col("CURSOS_CULMINADOS"), F.col("TOTAL_CURSOS")), 4))
+        "TASA_COMPLETITUD", round_half_away(safe_ratio(F.col("CURSOS_CULMINADOS"), F.col("TOTAL_CURSOS")), 4))
 
 
 def user_first_row(enrol: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def matrix_stats(enrol: DataFrame, ratings: DataFrame, catalog: DataFrame) -> Da
     out = load.crossJoin(r).crossJoin(act)  # three one-row aggregates
     return out.withColumn(
         "densidad",
-        F.round(safe_ratio(F.col("no_ceros").cast("double"), F.col("usuarios") * F.col("cursos")), 6),
+        round_half_away(safe_ratio(F.col("no_ceros").cast("double"), F.col("usuarios") * F.col("cursos")), 6),
     ).withColumn("bytes_valores", F.col("no_ceros") * 4)
 
 

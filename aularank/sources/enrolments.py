@@ -19,6 +19,7 @@ from aularank.fixed_values import (
     REQUIRED_COLUMNS,
 )
 from aularank.functions.columns import (
+    round_half_away,
     binary_flag,
     clip,
     numeric_or_null,
@@ -156,7 +157,7 @@ def composite_rating(done: str = "CURSO_CULMINADO", approved: str = "APROBACION"
         + F.when(~d & (p >= 0.8), 1.0).otherwise(0.0)
         + F.when(~d & (p >= 0.5) & (p < 0.8), 0.5).otherwise(0.0)
     )
-    return F.round(clip(raw, 0.0, 5.0), 4)
+    return round_half_away(clip(raw, 0.0, 5.0), 4)
 
 
 def clean_enrolments(raw: DataFrame, strict_projection: bool = False) -> DataFrame:
