@@ -32,10 +32,18 @@ def numeric_or_null(col: Column, dtype: T.DataType) -> Column:
 
 
 def clip(col: Column, lo: float, hi: float) -> Column:
-    """Null-preserving clip (``greatest(null, x)`` is not null in Spark, Q4)."""
+    """Null-preserving clip (``greatest(null, x)`` is not null in Spark, Q4).
+
+    References ``col`` twice; use :func:`clip_nn` on never-null inputs.
+    """
     return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(lo)), F.lit(hi)))
 
 
+def clip_nn(col: Column, lo: float, hi: float) -> Column:
+    """Clip for an input that is never null (one reference to ``col``)."""
+    return F.least(F.greatest(col, F.lit(lo)), F.lit(hi))
+
+
 def numeric_or_zero_int(col: Column, dtype: T.DataType) -> Column:
     """Coerce, null -> 0, truncate toward zero into an int."""
     return F.coalesce(numeric_or_null(col, dtype), F.lit(0.0)).cast("int")
@@ -66,14 +74,11 @@ def round_half_away(col: Column, decimals: int) -> Column:
 
     Spark's ``round`` rounds the shortest decimal string half-up
     (``round(1.005, 2) = 1.01``); this rounds the scaled binary value, as SQL
-    engines such as DuckDB/PostgreSQL do (``1.00``).  Exact ties agree.
+    engines such as DuckDB/PostgreSQL do (``1.00``).  Null stays null.
     """
     scale = float(10 ** decimals)
-    v = F.abs(col.cast("double")) * F.lit(scale)
-    fl = F.floor(v).cast("double")
-    r = fl + F.when(v - fl >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(col.isNull(), F.lit(None).cast("double")).otherwise(
-        F.when(col < 0, -r).otherwise(r) / F.lit(scale))
+    c = col.cast("double")
+    return F.signum(c) * (F.floor(F.abs(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale))
 
 
 def _two_product_error(a: Column, b: float, p: Column) -> Column:

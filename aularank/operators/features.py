@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aularank.functions.columns import clip, safe_ratio, round_half_away
+from aularank.functions.columns import clip_nn, round_half_away, safe_ratio
 
 USER = "USUARIO_DOCUMENTO"
 COURSE = "ID_OFERTA_FORMATIVA"
@@ -47,9 +47,9 @@ def course_catalog(enrol: DataFrame) -> DataFrame:
     n = F.col("TOTAL_INSCRITOS")
     agg = agg.select(
         "*",
-        clip(safe_ratio(F.col("TOTAL_CULMINADOS"), n), 0.0, 1.0).alias("TASA_CULMINACION"),
-        clip(safe_ratio(F.col("TOTAL_APROBADOS"), n), 0.0, 1.0).alias("TASA_APROBACION"),
-        clip(F.coalesce(F.col("CALIFICACION_PROM"), F.lit(0.0)) / 5.0, 0.0, 1.0).alias("CALIFICACION_NORM"),
+        clip_nn(safe_ratio(F.col("TOTAL_CULMINADOS"), n), 0.0, 1.0).alias("TASA_CULMINACION"),
+        clip_nn(safe_ratio(F.col("TOTAL_APROBADOS"), n), 0.0, 1.0).alias("TASA_APROBACION"),
+        clip_nn(F.coalesce(F.col("CALIFICACION_PROM"), F.lit(0.0)) / 5.0, 0.0, 1.0).alias("CALIFICACION_NORM"),
     ).withColumn(
         "SCORE_POPULARIDAD",
         round_half_away(F.col("TASA_CULMINACION") * F.col("CALIFICACION_NORM") * F.log1p(n.cast("double")), 4),

@@ -257,10 +257,9 @@ hybrid AS (
     round(raw_p * {p.w_popularity}{D}, 4) AS score_popularidad,
     round(raw_h * {p.w_history}{D}, 4) AS score_historial,
     round(raw_n * {p.w_novelty}{D}, 4) AS score_novedad,
-    array_to_string(list_filter([
+    concat_ws(',',
       CASE WHEN raw_c > 0 THEN 'colaborativo' END, CASE WHEN raw_p > 0 THEN 'popularidad' END,
-      CASE WHEN raw_h > 0 THEN 'historial' END, CASE WHEN raw_n > 0 THEN 'novedad' END],
-      x -> x IS NOT NULL), ',') AS metodos,
+      CASE WHEN raw_h > 0 THEN 'historial' END, CASE WHEN raw_n > 0 THEN 'novedad' END) AS metodos,
     'Curso relevante para tu nivel educativo y región. Docentes con tu perfil lo completaron con alta valoración.'
       AS justificacion
   FROM top

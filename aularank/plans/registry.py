@@ -83,14 +83,14 @@ def q_score_collaborative(spark, sf):
 
 def q_popularity_normaliser(spark, sf):
     m = _model(spark, sf)
-    users = rp.all_users(m.enrol)
+    users = rp.all_users(m)
     first = sc.first_popular(users, sc.popularity_ranking(m.catalog), m.taken, 1)
     return sc.popularity_normaliser(first)
 
 
 def q_score_history(spark, sf):
     m = _model(spark, sf)
-    comp = rp.components(m, rp.all_users(m.enrol), PARAMS)
+    comp = rp.components(m, rp.all_users(m), PARAMS)
     return comp.history.select(USER, COURSE, round_half_away(F.col("score"), 6).alias("score"), "rank")
 
 
@@ -108,7 +108,7 @@ def q_taken_courses(spark, sf):
 
 def q_regional_share(spark, sf):
     en = _enrol(spark, sf)
-    rc = sc.regional_completions(en, fe.course_catalog(en))
+    rc = sc.regional_completions(sc.completions(en), fe.course_catalog(en))
     tot = fe.keyed(en, COURSE).where((F.col("CURSO_CULMINADO") == 1)).groupBy(
         F.col("NOMBRE_DRE").alias("region")).agg(F.count(F.lit(1)).alias("N_d"))
     return rc.join(tot, "region").select(
