@@ -287,3 +287,71 @@ SELECT r.*, c.CURSO, CAST(trunc(c.HORAS_PROGRAMA) AS INTEGER) AS HORAS_PROGRAMA,
   round(c.CALIFICACION_PROM, 2) AS CALIFICACION_PROM
 FROM recs r LEFT JOIN catalog c USING (ID_OFERTA_FORMATIVA)
 """
+
+
+# ---- logs (FIXTURES B3) --------------------------------------------------------
+
+LOG = """
+log AS (
+  SELECT CAST(event_id AS INTEGER) AS id, CAST(user_id AS VARCHAR) AS usuario,
+    'user ' || CAST(user_id AS VARCHAR) AS nombre_usuario,
+    'mensaje ' || CAST(event_id AS VARCHAR) AS mensaje,
+    'respuesta ' || CAST(event_id AS VARCHAR) AS respuesta,
+    CASE WHEN event_type IN ('purchase', 'signup') THEN 'recomendacion' ELSE 'sifods' END AS tarea,
+    CASE WHEN event_type IN ('purchase', 'signup') THEN 'modelo_recomendacion_hibrido' ELSE 'qdrant' END
+      AS fuente_datos,
+    CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS tokens_entrada,
+    CASE WHEN event_type <> 'error' THEN 2 * CAST(json_extract_string(props, '$.k') AS INTEGER) END AS tokens_salida,
+    CASE WHEN event_type <> 'error' THEN CAST(floor(value * 10) AS INTEGER) END AS latencia_ms,
+    ts AS "timestamp"
+  FROM events
+)"""
+
+DETAILS = """
+det AS (
+  SELECT CAST(event_id * 10 + p AS INTEGER) AS id, CAST(event_id AS INTEGER) AS conversacion_id,
+    CAST(user_id AS VARCHAR) AS usuario, CAST(p AS SMALLINT) AS posicion,
+    CAST((event_id * p) % 200 AS VARCHAR) AS id_oferta_formativa,
+    'curso ' || CAST((event_id * p) % 200 AS VARCHAR) AS curso,
+    CAST(p * 10 AS INTEGER) AS horas_programa, 'TODOS' AS publico_objetivo,
+    CAST(0.5 AS DECIMAL(4,2)) AS tasa_culminacion, CAST(0.25 AS DECIMAL(4,2)) AS tasa_aprobacion,
+    CAST(3.5 AS DECIMAL(3,1)) AS calificacion_prom, CAST(1.0 / p AS DECIMAL(6,4)) AS score_final,
+    'popularidad,novedad' AS algoritmos_usados,
+    'justificacion ' || CAST((event_id * p) % 200 AS VARCHAR) AS justificacion,
+    ts AS "timestamp"
+  FROM events, (VALUES (1), (2), (3)) v(p)
+  WHERE event_type IN ('purchase', 'signup')
+)"""
+
+CONSTRAINTS = """
+SELECT 'conversaciones_agente' AS tabla, r.regla, r.n FROM (
+  SELECT unnest([
+    {'regla': 'not_null:usuario', 'n': count(*) FILTER (WHERE usuario IS NULL)},
+    {'regla': 'not_null:mensaje', 'n': count(*) FILTER (WHERE mensaje IS NULL)},
+    {'regla': 'not_null:respuesta', 'n': count(*) FILTER (WHERE respuesta IS NULL)},
+    {'regla': 'not_null:tarea', 'n': count(*) FILTER (WHERE tarea IS NULL)},
+    {'regla': 'length:usuario>100', 'n': count(*) FILTER (WHERE length(usuario) > 100)},
+    {'regla': 'length:nombre_usuario>200', 'n': count(*) FILTER (WHERE length(nombre_usuario) > 200)},
+    {'regla': 'length:tarea>20', 'n': count(*) FILTER (WHERE length(tarea) > 20)},
+    {'regla': 'length:fuente_datos>50', 'n': count(*) FILTER (WHERE length(fuente_datos) > 50)},
+    {'regla': 'domain:tarea', 'n': count(*) FILTER (WHERE tarea NOT IN ('sifods', 'recomendacion'))}
+  ], recursive := true) FROM log) r
+UNION ALL
+SELECT 'recomendaciones_detalle', r.regla, r.n FROM (
+  SELECT unnest([
+    {'regla': 'not_null:conversacion_id', 'n': count(*) FILTER (WHERE conversacion_id IS NULL)},
+    {'regla': 'not_null:usuario', 'n': count(*) FILTER (WHERE usuario IS NULL)},
+    {'regla': 'not_null:posicion', 'n': count(*) FILTER (WHERE posicion IS NULL)},
+    {'regla': 'length:usuario>100', 'n': count(*) FILTER (WHERE length(usuario) > 100)},
+    {'regla': 'length:id_oferta_formativa>50', 'n': count(*) FILTER (WHERE length(id_oferta_formativa) > 50)},
+    {'regla': 'length:curso>255', 'n': count(*) FILTER (WHERE length(curso) > 255)},
+    {'regla': 'length:publico_objetivo>200', 'n': count(*) FILTER (WHERE length(publico_objetivo) > 200)}
+  ], recursive := true) FROM det) r
+UNION ALL
+SELECT 'conversaciones_agente', 'primary_key:id', count(*) FROM (SELECT id FROM log GROUP BY id HAVING count(*) > 1)
+UNION ALL
+SELECT 'recomendaciones_detalle', 'primary_key:id', count(*) FROM (SELECT id FROM det GROUP BY id HAVING count(*) > 1)
+UNION ALL
+SELECT 'recomendaciones_detalle', 'foreign_key:conversacion_id', count(*)
+FROM det WHERE conversacion_id NOT IN (SELECT id FROM log)
+"""

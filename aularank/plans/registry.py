@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from aularank.functions.columns import round_half_away
 from aularank.operators import features as fe
+from aularank.operators import logs as lg
 from aularank.operators import scores as sc
 from aularank.operators.features import COURSE, USER
 from aularank.operators.similarity import user_neighbours
@@ -132,6 +133,21 @@ def q_audience_match(spark, sf):
     return t.select(USER, COURSE, F.coalesce(flag, F.lit(False)).alias("audience_match"))
 
 
+# ---- logs ---------------------------------------------------------------------
+
+def q_daily_metrics(spark, sf):
+    return lg.daily_metrics(testdata.interactions(spark, sf))
+
+
+def q_recommendation_history(spark, sf):
+    h = lg.recommendation_history(testdata.interactions(spark, sf), testdata.recommendation_details(spark, sf))
+    return h.withColumn("algoritmos_usados", F.array_join("algoritmos_usados", ","))
+
+
+def q_constraint_report(spark, sf):
+    return lg.constraint_report(testdata.interactions(spark, sf), testdata.recommendation_details(spark, sf))
+
+
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_enrolments": q_clean_enrolments,
     "course_catalog": q_course_catalog,
@@ -148,6 +164,9 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audience_match": q_audience_match,
     "recommend_hybrid": q_recommend_hybrid,
     "recommend_fallback": q_recommend_fallback,
+    "daily_metrics": q_daily_metrics,
+    "recommendation_history": q_recommendation_history,
+    "constraint_report": q_constraint_report,
 }
 
 _W = O.with_
@@ -201,4 +220,16 @@ SQL: dict[str, str] = {
  FROM taken t JOIN firstrow f USING (USUARIO_DOCUMENTO) JOIN catalog c USING (ID_OFERTA_FORMATIVA)""",
     "recommend_hybrid": O.recommend_sql(PARAMS),
     "recommend_fallback": O.recommend_sql(FALLBACK_PARAMS),
+    "daily_metrics": O.with_(O.LOG) + """
+ SELECT CAST("timestamp" AS DATE) AS fecha, tarea, count(*) AS consultas,
+   round(avg(latencia_ms)) AS latencia_promedio_ms,
+   CAST(sum(coalesce(tokens_entrada, 0) + coalesce(tokens_salida, 0)) AS BIGINT) AS tokens_totales
+ FROM log GROUP BY 1, 2 ORDER BY fecha DESC, tarea""",
+    "recommendation_history": O.with_(O.LOG, O.DETAILS) + """
+ SELECT ca."timestamp", ca.usuario, ca.nombre_usuario, rd.posicion, rd.id_oferta_formativa, rd.curso,
+   rd.horas_programa, rd.publico_objetivo, rd.score_final, rd.algoritmos_usados, rd.tasa_culminacion,
+   rd.calificacion_prom, rd.justificacion, ca.latencia_ms
+ FROM log ca JOIN det rd ON rd.conversacion_id = ca.id WHERE ca.tarea = 'recomendacion'
+ ORDER BY ca."timestamp" DESC, rd.posicion ASC""",
+    "constraint_report": O.with_(O.LOG, O.DETAILS) + O.CONSTRAINTS,
 }
