@@ -124,9 +124,14 @@ def fmt_int_like(col: Column) -> Column:
     return col.cast("long").cast("string")
 
 
+# Default token pattern (UDF-3): ASCII word runs, or any single other non-space
+# character.  Spelled out so Java and RE2 engines agree character by character.
+TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f]"
+
+
 def token_count(col: Column) -> Column:
     """Default token counter (UDF-3 fallback): words and punctuation marks."""
-    return F.size(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"(\w+|[^\w\s])"), 1))
+    return F.size(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(TOKEN_PATTERN), 0))
 
 
 def last_sentence_trim(col: Column) -> Column:

@@ -10,6 +10,8 @@ in double arithmetic are cast.
 
 from __future__ import annotations
 
+from aularank.fixed_values import PROMPT_BASE, PROMPT_ROUTER, PROMPT_SIFODS
+from aularank.functions.columns import TOKEN_PATTERN
 from aularank.params import RecommenderParams
 
 D = "::DOUBLE"
@@ -355,3 +357,116 @@ UNION ALL
 SELECT 'recomendaciones_detalle', 'foreign_key:conversacion_id', count(*)
 FROM det WHERE conversacion_id NOT IN (SELECT id FROM log)
 """
+
+
+# ---- retrieval (FIXTURES B2) ------------------------------------------------------
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def routing_ctes(r) -> tuple:
+    fast = "'embeddings ⚡ (' || reason || ')'"
+    llm = "'llm 🤖 (' || reason || ')'"
+    return (f"""
+flat AS (
+  SELECT vec_id, label, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding) AS x
+  FROM embeddings
+),
+nodes AS (SELECT label, min(vec_id) AS node_vec_id FROM embeddings GROUP BY label),
+nodevec AS (SELECT n.label, n.node_vec_id, f.i, f.x FROM nodes n JOIN flat f ON f.vec_id = n.node_vec_id),
+qn AS (
+  SELECT q.vec_id AS query_id, nv.label, nv.node_vec_id, sum(q.x::DOUBLE * nv.x::DOUBLE) AS score
+  FROM flat q JOIN nodevec nv ON q.i = nv.i
+  WHERE q.vec_id <> nv.node_vec_id GROUP BY 1, 2, 3
+),
+cands AS (
+  SELECT query_id, label, node_vec_id, score, 'kb_' || label AS knowledge_base, 'Nodo ' || label AS name,
+    'Tema ' || label AS description, 'Raiz > Nodo ' || label AS path,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_vec_id ASC) AS rank
+  FROM qn QUALIFY rank <= {r.candidates}
+),
+dec0 AS (
+  SELECT query_id,
+    max(CASE WHEN rank = 1 THEN score END) AS s1,
+    coalesce(max(CASE WHEN rank = 2 THEN score END), 0::DOUBLE) AS s2,
+    max(CASE WHEN rank = 1 THEN knowledge_base END) AS kb,
+    max(CASE WHEN rank = 1 THEN name END) AS node,
+    max(CASE WHEN rank = 1 THEN path END) AS path
+  FROM cands GROUP BY query_id
+),
+dec1 AS (
+  SELECT *, (s1 >= {r.high}::DOUBLE) OR NOT ((s1 < {r.low}::DOUBLE) OR (s1 - s2 < {r.gap}::DOUBLE)) AS fast_path,
+    CASE WHEN s1 >= {r.high}::DOUBLE THEN 'score alto (' || printf('%.4f', s1) || ')'
+         WHEN s1 < {r.low}::DOUBLE THEN 'score bajo (' || printf('%.4f', s1) || ')'
+         WHEN s1 - s2 < {r.gap}::DOUBLE THEN 'empate (diff=' || printf('%.4f', s1 - s2) || ')'
+         ELSE 'score ok (' || printf('%.4f', s1) || ')' END AS reason
+  FROM dec0
+),
+decision AS (
+  SELECT query_id, kb, node, path, CASE WHEN fast_path THEN {fast} ELSE {llm} END AS method,
+    fast_path, round(s1, 4) AS score
+  FROM dec1
+)""",)
+
+
+ESCALATION = """,
+lines AS (
+  SELECT query_id, string_agg('- ' || knowledge_base || ' | ' || name || ' | score: ' || printf('%.4f', score)
+    || chr(10) || '  ' || description, chr(10) ORDER BY rank) AS cands_text
+  FROM cands GROUP BY query_id
+)
+SELECT d.query_id, """ + _lit(PROMPT_ROUTER.split("{query}")[0]) + """ || coalesce(doc.text, '') || """ \
+    + _lit(PROMPT_ROUTER.split("{query}")[1].split("{candidates}")[0]) + """ || l.cands_text || """ \
+    + _lit(PROMPT_ROUTER.split("{candidates}")[1]) + """ AS prompt
+FROM decision d JOIN lines l USING (query_id) LEFT JOIN documents doc ON doc.doc_id = d.query_id
+WHERE NOT d.fast_path"""
+
+
+def search_cte(r) -> str:
+    return f"""
+chunkvec AS (SELECT f.vec_id AS chunk_id, 'kb_' || f.label AS kb, f.i, f.x FROM flat f),
+qc AS (
+  SELECT q.vec_id AS query_id, c.chunk_id, d.kb, sum(q.x::DOUBLE * c.x::DOUBLE) AS score
+  FROM flat q JOIN decision d ON d.query_id = q.vec_id
+  JOIN chunkvec c ON c.kb = d.kb AND c.i = q.i AND c.chunk_id <> q.vec_id
+  GROUP BY 1, 2, 3
+),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id ASC) AS rank
+  FROM qc QUALIFY rank <= {r.chunk_top_k}
+),
+hits AS (
+  SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.kb, coalesce(doc.source, '') AS filename,
+    CAST(t.chunk_id AS INTEGER) AS chunk, coalesce(doc.text, '') AS text, round(t.score, 4) AS score
+  FROM top t LEFT JOIN documents doc ON doc.doc_id = t.chunk_id
+)"""
+
+
+CONTEXT = """
+ctx AS (
+  SELECT query_id,
+    string_agg('[' || filename || ']' || chr(10) || text || chr(10), chr(10) || chr(10) ORDER BY rank) AS context,
+    count(*) AS n_chunks,
+    string_agg(CASE WHEN rank <= 3 THEN filename || '=' || printf('%.4f', score) END, ';' ORDER BY rank)
+      AS referencias
+  FROM hits GROUP BY query_id
+)"""
+
+_PB = PROMPT_BASE.split("{context}")
+_PBQ = _PB[1].split("{question}")
+ANSWERS = """,
+ans AS (
+  SELECT e.vec_id AS query_id, """ + _lit(_PB[0]) + """ || c.context || """ + _lit(_PBQ[0]) \
+    + """ || coalesce(doc.text, '') || """ + _lit(_PBQ[1]) + " || chr(10) || chr(10) || " + _lit(PROMPT_SIFODS) \
+    + """ AS prompt, d.kb, d.node, c.referencias, c.n_chunks
+  FROM embeddings e LEFT JOIN documents doc ON doc.doc_id = e.vec_id
+  LEFT JOIN decision d ON d.query_id = e.vec_id LEFT JOIN ctx c ON c.query_id = e.vec_id
+)
+SELECT query_id, CASE WHEN n_chunks IS NOT NULL THEN prompt END AS prompt,
+  CASE WHEN n_chunks IS NOT NULL THEN 'qdrant:' || kb ELSE 'ninguna' END AS fuente_datos,
+  CASE WHEN n_chunks IS NOT NULL THEN node || ' (' || kb || ')' END AS nodo_navegacion,
+  coalesce(referencias, '') AS referencias,
+  CASE WHEN n_chunks IS NOT NULL THEN len(regexp_extract_all(prompt, """ + _lit(TOKEN_PATTERN) + """)) END
+    AS tokens_entrada
+FROM ans"""

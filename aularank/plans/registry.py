@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 from aularank.functions.columns import round_half_away
 from aularank.operators import features as fe
 from aularank.operators import logs as lg
+from aularank.operators import retrieval as rt
 from aularank.operators import scores as sc
 from aularank.operators.features import COURSE, USER
 from aularank.operators.similarity import user_neighbours
-from aularank.params import RecommenderParams
+from aularank.params import RecommenderParams, RouterParams
 from aularank.plans import oracle_sql as O
 from aularank.plans import recommend as rp
 from aularank.sources import testdata
 
 PARAMS = RecommenderParams()
 FALLBACK_PARAMS = RecommenderParams(min_score=1.01)
+# The fixture vectors are near-random, so the test thresholds of FIXTURES B2
+# (high .28, low .12, gap .03) are used to reach every routing branch.
+ROUTER = RouterParams(high=0.28, low=0.12, gap=0.03)
 
 
 def _enrol(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,6 +152,53 @@ def q_constraint_report(spark, sf):
     return lg.constraint_report(testdata.interactions(spark, sf), testdata.recommendation_details(spark, sf))
 
 
+# ---- retrieval ----------------------------------------------------------------
+
+def _routing(spark, sf):
+    qs, nodes = testdata.queries(spark, sf), testdata.nodes(spark, sf)
+    cands = rt.route_candidates(qs, nodes, ROUTER)
+    return qs, nodes, cands, rt.route_decision(cands, qs, nodes, ROUTER)
+
+
+def q_route_candidates(spark, sf):
+    _, _, cands, _ = _routing(spark, sf)
+    return cands.select("query_id", "rank", "knowledge_base", round_half_away(F.col("score"), 6).alias("score"))
+
+
+def q_route_decision(spark, sf):
+    _, _, _, dec = _routing(spark, sf)
+    return dec.select("query_id", "kb", "node", "path", "method", "fast_path", "score")
+
+
+def q_escalation_prompts(spark, sf):
+    qs, _, cands, dec = _routing(spark, sf)
+    return rt.escalation_prompts(cands, dec, qs)
+
+
+def _search(spark, sf):
+    qs, _, _, dec = _routing(spark, sf)
+    return qs, dec, rt.search_chunks(dec, qs, testdata.chunks(spark, sf), ROUTER)
+
+
+def q_chunk_search(spark, sf):
+    _, _, hits = _search(spark, sf)
+    return hits
+
+
+def q_context_text(spark, sf):
+    _, _, hits = _search(spark, sf)
+    return rt.context_text(hits).select("query_id", "context", "n_chunks")
+
+
+def q_answer_prompts(spark, sf):
+    qs, dec, hits = _search(spark, sf)
+    a = rt.answer_prompts(qs, dec, hits)
+    refs = F.array_join(F.transform("referencias", lambda x: F.concat(
+        x["fuente"], F.lit("="), F.format_string("%.4f", x["relevancia"]))), ";")
+    return a.select("query_id", "prompt", "fuente_datos", "nodo_navegacion", refs.alias("referencias"),
+                    "tokens_entrada")
+
+
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_enrolments": q_clean_enrolments,
     "course_catalog": q_course_catalog,
@@ -167,6 +218,12 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "daily_metrics": q_daily_metrics,
     "recommendation_history": q_recommendation_history,
     "constraint_report": q_constraint_report,
+    "route_candidates": q_route_candidates,
+    "route_decision": q_route_decision,
+    "escalation_prompts": q_escalation_prompts,
+    "chunk_search": q_chunk_search,
+    "context_text": q_context_text,
+    "answer_prompts": q_answer_prompts,
 }
 
 _W = O.with_
@@ -232,4 +289,13 @@ SQL: dict[str, str] = {
  FROM log ca JOIN det rd ON rd.conversacion_id = ca.id WHERE ca.tarea = 'recomendacion'
  ORDER BY ca."timestamp" DESC, rd.posicion ASC""",
     "constraint_report": O.with_(O.LOG, O.DETAILS) + O.CONSTRAINTS,
+    "route_candidates": O.with_(*O.routing_ctes(ROUTER))
+    + " SELECT query_id, rank, knowledge_base, round(score, 6) AS score FROM cands",
+    "route_decision": O.with_(*O.routing_ctes(ROUTER))
+    + " SELECT query_id, kb, node, path, method, fast_path, score FROM decision",
+    "escalation_prompts": O.with_(*O.routing_ctes(ROUTER)) + O.ESCALATION,
+    "chunk_search": O.with_(*O.routing_ctes(ROUTER), O.search_cte(ROUTER)) + " SELECT * FROM hits",
+    "context_text": O.with_(*O.routing_ctes(ROUTER), O.search_cte(ROUTER), O.CONTEXT)
+    + " SELECT query_id, context, n_chunks FROM ctx",
+    "answer_prompts": O.with_(*O.routing_ctes(ROUTER), O.search_cte(ROUTER), O.CONTEXT) + O.ANSWERS,
 }
