@@ -247,3 +247,17 @@ NODE_TEXT_KEYWORDS = "Palabras clave: "
 NODE_TEXT_QUESTIONS = " Preguntas que responde: "
 PASSAGE_PREFIX = "passage: "
 QUERY_PREFIX = "query: "
+
+# Response text block pieces (recommendation answer), in the order they appear.
+RESPONSE_ITEM_TITLE = "**{i}. {curso}**\n"
+RESPONSE_ITEM_WHY = " \U0001f3af {justificacion}\n"
+RESPONSE_ITEM_HOURS = " ⏱️ {horas}h  |  "
+RESPONSE_ITEM_DONE = "✅ {tasa}% culminación"
+RESPONSE_ITEM_RATING = "  |  ⭐ {cal}/5.0"
+RESPONSE_ITEM_AUDIENCE = " \U0001f465 Dirigido a: {publico}\n"
+RESPONSE_ITEM_SCORE = " \U0001f4ca Score: {score}\n\n"
+
+# Teacher context pieces for the justification prompt.
+TEACHER_CONTEXT = "Nivel educativo: {nivel}. DRE: {dre}. Ha completado {n_cul} de {n_tot} cursos (tasa personal: {tasa}%). "
+TEACHER_AGE = "Edad aprox: {edad} años. "
+RATING_TEXT = "{cal}/5.0"

@@ -222,10 +222,14 @@ def with_(*ctes: str) -> str:
 
 
 def recommend_sql(p: RecommenderParams = RecommenderParams()) -> str:
+    return with_(*recommend_ctes(p)) + " SELECT * FROM final"
+
+
+def recommend_ctes(p: RecommenderParams = RecommenderParams()) -> tuple:
     k, e = p.top_k, p.expand
     blend = (f"(((raw_c * {p.w_collaborative}{D}) + (raw_p * {p.w_popularity}{D})) "
              f"+ (raw_h * {p.w_history}{D})) + (raw_n * {p.w_novelty}{D})")
-    return with_(
+    return (
         ENROL, CATALOG, RATINGS, neighbours_cte(p.similar_users), collaborative_cte(e), CANDIDATES,
         history_cte(e, p),
         f"""
@@ -280,15 +284,15 @@ recs AS (
     NULL{D}, NULL{D}, NULL{D}, NULL{D}, 'popularidad_fallback',
     'Curso muy valorado por docentes de la plataforma.'
   FROM fb
-)""",
-    ) + """
-SELECT r.*, c.CURSO, CAST(trunc(c.HORAS_PROGRAMA) AS INTEGER) AS HORAS_PROGRAMA,
-  substring(coalesce(c.PROPOSITO, ''), 1, 300) AS PROPOSITO, c.PUBLICO_OBJETIVO,
-  CAST(c."AÑO_MAX" AS INTEGER) AS "AÑO", CAST(c.TOTAL_INSCRITOS AS INTEGER) AS TOTAL_INSCRITOS,
-  round(c.TASA_CULMINACION, 2) AS TASA_CULMINACION, round(c.TASA_APROBACION, 2) AS TASA_APROBACION,
-  round(c.CALIFICACION_PROM, 2) AS CALIFICACION_PROM
-FROM recs r LEFT JOIN catalog c USING (ID_OFERTA_FORMATIVA)
-"""
+)""", """
+final AS (
+  SELECT r.*, c.CURSO, CAST(trunc(c.HORAS_PROGRAMA) AS INTEGER) AS HORAS_PROGRAMA,
+    substring(coalesce(c.PROPOSITO, ''), 1, 300) AS PROPOSITO, c.PUBLICO_OBJETIVO,
+    CAST(c."AÑO_MAX" AS INTEGER) AS "AÑO", CAST(c.TOTAL_INSCRITOS AS INTEGER) AS TOTAL_INSCRITOS,
+    round(c.TASA_CULMINACION, 2) AS TASA_CULMINACION, round(c.TASA_APROBACION, 2) AS TASA_APROBACION,
+    round(c.CALIFICACION_PROM, 2) AS CALIFICACION_PROM
+  FROM recs r LEFT JOIN catalog c USING (ID_OFERTA_FORMATIVA)
+)""")
 
 
 # ---- logs (FIXTURES B3) --------------------------------------------------------
@@ -470,3 +474,87 @@ SELECT query_id, CASE WHEN n_chunks IS NOT NULL THEN prompt END AS prompt,
   CASE WHEN n_chunks IS NOT NULL THEN len(regexp_extract_all(prompt, """ + _lit(TOKEN_PATTERN) + """)) END
     AS tokens_entrada
 FROM ans"""
+
+
+# ---- recommendation texts ------------------------------------------------------
+
+def fill_sql(template: str, **values: str) -> str:
+    """``template.format(**values)`` as a SQL concatenation of literals and expressions."""
+    import re as _re
+
+    parts, pos = [], 0
+    for m in _re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(_lit(template[pos:m.start()]))
+        parts.append("(" + values[m.group(1)] + ")")
+        pos = m.end()
+    if pos < len(template):
+        parts.append(_lit(template[pos:]))
+    return " || ".join(parts)
+
+
+def _has(method: str) -> str:
+    return f"list_contains(string_split(f.metodos, ','), '{method}')"
+
+
+def justification_sql(p: RecommenderParams = RecommenderParams()) -> str:
+    from aularank import fixed_values as fv
+
+    reasons = ("coalesce(nullif(concat_ws('; ', " + ", ".join(
+        f"CASE WHEN {_has(m)} THEN {_lit(fv.METHOD_PHRASES[m])} END" for m in fv.METHODS)
+        + f"), ''), {_lit(fv.DEFAULT_REASON)})")
+    ctx = fill_sql(
+        fv.TEACHER_CONTEXT,
+        nivel="trim(coalesce(pr.NIVELNEXUS, ''))", dre="trim(coalesce(pr.NOMBRE_DRE, ''))",
+        n_cul="CAST(pr.CURSOS_CULMINADOS AS VARCHAR)", n_tot="CAST(pr.TOTAL_CURSOS AS VARCHAR)",
+        tasa="printf('%.0f', pr.TASA_COMPLETITUD * 100)")
+    age = fill_sql(fv.TEACHER_AGE, edad="CAST(CAST(trunc(pr.EDAD_APROX) AS BIGINT) AS VARCHAR)")
+    teacher = (f"CASE WHEN pr.TOTAL_CURSOS IS NULL THEN {_lit(fv.GENERIC_TEACHER_CONTEXT)} ELSE ({ctx}) || "
+               f"CASE WHEN pr.EDAD_APROX IS NOT NULL THEN ({age}) ELSE '' END END")
+    cal = (f"CASE WHEN coalesce(f.CALIFICACION_PROM, 0) > 0 THEN printf('%.1f', f.CALIFICACION_PROM) || '/5.0' "
+           f"ELSE {_lit(fv.NO_RATING_TEXT)} END")
+    user_prompt = fill_sql(
+        fv.PROMPT_JUSTIFICATION_USER, docente_contexto=teacher, curso="coalesce(f.CURSO, '')",
+        horas="CAST(f.HORAS_PROGRAMA AS VARCHAR)", calificacion=cal,
+        publico_objetivo="coalesce(f.PUBLICO_OBJETIVO, '')", proposito="substring(coalesce(f.PROPOSITO, ''), 1, 250)",
+        tasa_culminacion="printf('%.0f', f.TASA_CULMINACION * 100)",
+        tasa_aprobacion="printf('%.0f', f.TASA_APROBACION * 100)", razones=reasons)
+    return with_(*recommend_ctes(p), PROFILE) + f"""
+SELECT f.USUARIO_DOCUMENTO, f.ID_OFERTA_FORMATIVA, f.posicion,
+  {_lit(fv.PROMPT_JUSTIFICATION_SYSTEM)} AS system_prompt, {user_prompt} AS user_prompt
+FROM final f LEFT JOIN profile pr USING (USUARIO_DOCUMENTO)
+WHERE f.metodos <> 'popularidad_fallback'"""
+
+
+def response_sql(p: RecommenderParams = RecommenderParams()) -> str:
+    from aularank import fixed_values as fv
+
+    cal = "coalesce(f.CALIFICACION_PROM, 0)"
+    block = " || ".join([
+        fill_sql(fv.RESPONSE_ITEM_TITLE, i="CAST(f.posicion AS VARCHAR)", curso="coalesce(f.CURSO, 'Curso')"),
+        fill_sql(fv.RESPONSE_ITEM_WHY, justificacion="f.justificacion"),
+        fill_sql(fv.RESPONSE_ITEM_HOURS, horas="CAST(f.HORAS_PROGRAMA AS VARCHAR)"),
+        fill_sql(fv.RESPONSE_ITEM_DONE, tasa="printf('%.0f', coalesce(f.TASA_CULMINACION, 0) * 100)"),
+        f"CASE WHEN {cal} > 0 THEN " + fill_sql(fv.RESPONSE_ITEM_RATING, cal=f"printf('%.1f', {cal})")
+        + " ELSE '' END",
+        "chr(10)",
+        "CASE WHEN coalesce(f.PUBLICO_OBJETIVO, '') <> '' THEN "
+        + fill_sql(fv.RESPONSE_ITEM_AUDIENCE, publico="f.PUBLICO_OBJETIVO") + " ELSE '' END",
+        fill_sql(fv.RESPONSE_ITEM_SCORE, score="printf('%.2f', f.score_final)"),
+    ])
+    return with_(*recommend_ctes(p)) + f""",
+blocks AS (
+  SELECT f.USUARIO_DOCUMENTO, string_agg({block}, '' ORDER BY f.posicion) AS body, count(*) AS total,
+    sum(len(regexp_extract_all(f.justificacion, {_lit(TOKEN_PATTERN)}))) AS tokens_salida
+  FROM final f GROUP BY 1
+),
+meth AS (
+  SELECT USUARIO_DOCUMENTO, string_agg(DISTINCT m, ',' ORDER BY m) AS algoritmos
+  FROM (SELECT USUARIO_DOCUMENTO, unnest(string_split(metodos, ',')) AS m FROM final) GROUP BY 1
+)
+SELECT u.USUARIO_DOCUMENTO,
+  CASE WHEN b.total IS NULL THEN {_lit(fv.HELP_NO_RECOMMENDATIONS)}
+       ELSE {_lit(fv.RESPONSE_HEADER)} || b.body || {_lit(fv.RESPONSE_FOOTER)} END AS respuesta,
+  CAST(coalesce(b.total, 0) AS INTEGER) AS total, coalesce(m.algoritmos, '') AS algoritmos,
+  CAST(coalesce(b.tokens_salida, 0) AS BIGINT) AS tokens_salida
+FROM users u LEFT JOIN blocks b USING (USUARIO_DOCUMENTO) LEFT JOIN meth m USING (USUARIO_DOCUMENTO)"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from aularank.functions.columns import round_half_away
 from aularank.operators import features as fe
 from aularank.operators import logs as lg
+from aularank.operators import prompts as pm
 from aularank.operators import retrieval as rt
 from aularank.operators import scores as sc
 from aularank.operators.features import COURSE, USER
@@ -107,6 +108,18 @@ def q_recommend_fallback(spark, sf):
     return _recs_flat(rp.recommend(_model(spark, sf, FALLBACK_PARAMS), None, FALLBACK_PARAMS))
 
 
+def q_justification_prompts(spark, sf):
+    m = _model(spark, sf)
+    return pm.justification_prompts(rp.recommend(m, None, PARAMS), m.profile)
+
+
+def q_response_text(spark, sf):
+    m = _model(spark, sf)
+    r = pm.response_records(rp.recommend(m, None, PARAMS), rp.all_users(m))
+    return r.select(USER, "respuesta", "total", F.array_join("algoritmos", ",").alias("algoritmos"),
+                    "tokens_salida")
+
+
 def q_taken_courses(spark, sf):
     return fe.taken_courses(_enrol(spark, sf))
 
@@ -215,6 +228,8 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audience_match": q_audience_match,
     "recommend_hybrid": q_recommend_hybrid,
     "recommend_fallback": q_recommend_fallback,
+    "justification_prompts": q_justification_prompts,
+    "response_text": q_response_text,
     "daily_metrics": q_daily_metrics,
     "recommendation_history": q_recommendation_history,
     "constraint_report": q_constraint_report,
@@ -277,6 +292,8 @@ SQL: dict[str, str] = {
  FROM taken t JOIN firstrow f USING (USUARIO_DOCUMENTO) JOIN catalog c USING (ID_OFERTA_FORMATIVA)""",
     "recommend_hybrid": O.recommend_sql(PARAMS),
     "recommend_fallback": O.recommend_sql(FALLBACK_PARAMS),
+    "justification_prompts": O.justification_sql(PARAMS),
+    "response_text": O.response_sql(PARAMS),
     "daily_metrics": O.with_(O.LOG) + """
  SELECT CAST("timestamp" AS DATE) AS fecha, tarea, count(*) AS consultas,
    round(avg(latencia_ms)) AS latencia_promedio_ms,
