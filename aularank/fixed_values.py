@@ -29,6 +29,7 @@ OPTIONAL_COLUMNS = {
     "CURSO_CULMINADO": (0, "int"),
     "NOMBRE_DRE": ("", "string"),
     "NOMBRE_UGEL": ("", "string"),
+    "HORAS_PROGRAMA": (0, "int"),
     "PROPOSITO": ("", "string"),
     "NOMBRE_COMPLETO": ("", "string"),
     "PUBLICO_OBJETIVO": ("", "string"),
