@@ -77,8 +77,25 @@ def q_user_neighbours(spark, sf):
     return nb.select(USER, "neighbour", round_half_away(F.col("sim"), 9).alias("sim"), "rank")
 
 
+_MODELS: dict = {}
+
+
 def _model(spark, sf, params=PARAMS):
-    return rp.build_model(_enrol(spark, sf), params)
+    """The checkpointed model tables for (session, data dir, params), built once.
+
+    Recommendation queries read the published model (SNK-5) instead of
+    rebuilding it from the enrolments every time.
+    """
+    key = (id(spark), sf, params)
+    if key not in _MODELS:
+        _MODELS[key] = rp.build_model(_enrol(spark, sf), params)
+    return _MODELS[key]
+
+
+def q_model_build(spark, sf):
+    """Build (and checkpoint) the model; returns its catalog."""
+    _MODELS.pop((id(spark), sf, PARAMS), None)
+    return _model(spark, sf).catalog
 
 
 def q_score_collaborative(spark, sf):
