@@ -92,9 +92,21 @@ def _model(spark, sf, params=PARAMS):
     return _MODELS[key]
 
 
+_RECS: dict = {}
+
+
+def _recs(spark, sf, params=PARAMS):
+    """Published recommendations for the model (checkpointed once, read by the text queries)."""
+    key = (id(spark), sf, params)
+    if key not in _RECS:
+        _RECS[key] = rp.recommend(_model(spark, sf, params), None, params).checkpoint(eager=True)
+    return _RECS[key]
+
+
 def q_model_build(spark, sf):
     """Build (and checkpoint) the model; returns its catalog."""
     _MODELS.pop((id(spark), sf, PARAMS), None)
+    _RECS.pop((id(spark), sf, PARAMS), None)
     return _model(spark, sf).catalog
 
 
@@ -118,7 +130,7 @@ def q_score_history(spark, sf):
 
 
 def q_recommend_hybrid(spark, sf):
-    return _recs_flat(rp.recommend(_model(spark, sf), None, PARAMS))
+    return _recs_flat(_recs(spark, sf))
 
 
 def q_recommend_fallback(spark, sf):
@@ -126,13 +138,11 @@ def q_recommend_fallback(spark, sf):
 
 
 def q_justification_prompts(spark, sf):
-    m = _model(spark, sf)
-    return pm.justification_prompts(rp.recommend(m, None, PARAMS), m.profile)
+    return pm.justification_prompts(_recs(spark, sf), _model(spark, sf).profile)
 
 
 def q_response_text(spark, sf):
-    m = _model(spark, sf)
-    r = pm.response_records(rp.recommend(m, None, PARAMS), rp.all_users(m))
+    r = pm.response_records(_recs(spark, sf), rp.all_users(_model(spark, sf)))
     return r.select(USER, "respuesta", "total", F.array_join("algoritmos", ",").alias("algoritmos"),
                     "tokens_salida")
 
