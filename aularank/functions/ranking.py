@@ -24,10 +24,16 @@ from pyspark.sql import functions as F
 def segment_positions(df: DataFrame, seg_cols: Sequence[str], order: Sequence[Column],
                       name: str = "pos", partitions: int | None = None) -> DataFrame:
     """Consecutive 1-based position per segment; ``order`` must be a total order."""
+    from aularank.session import ensure_checkpoint_dir
+
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     seg = [F.col(c) for c in seg_cols]
-    ranged = df.repartitionByRange(parts, *seg, *order).withColumn("_pid", F.spark_partition_id())
+    # The partition id is read by two branches below; checkpointing fixes the
+    # sampled range bounds and the ids once (no reliance on exchange reuse).
+    ranged = df.repartitionByRange(parts, *seg, *order).withColumn("_pid", F.spark_partition_id()) \
+        .checkpoint(eager=True)
     local = ranged.withColumn(
         "_lpos", F.row_number().over(Window.partitionBy("_pid", *seg_cols).orderBy(*order)))
     counts = local.groupBy("_pid", *seg_cols).agg(F.max("_lpos").alias("_cnt"))

@@ -147,3 +147,23 @@ def test_fallback_when_nothing_passes_min_score(spark):
     got, want, recs = run_case(spark, 3, RecommenderParams(min_score=1.01, users_per_block=8))
     assert got == want
     assert all(m == ["popularidad_fallback"] for m in recs.toPandas()["metodos_usados"].map(list))
+
+
+def test_per_request_top_k_and_subset_equals_all(spark):
+    """SRC-6 / FLT-13 and T4: a users subset with per-request k equals all users cut at k."""
+    from pyspark.sql import functions as F
+
+    params = RecommenderParams(users_per_block=8)
+    enrol = clean_enrolments(spark.createDataFrame(make_rows(4), SCHEMA))
+    model = rp.build_model(enrol, params, checkpoint=False)
+    full5 = rp.recommend(model, None, RecommenderParams(top_k=5, users_per_block=8))
+    req = spark.createDataFrame([("U01", 5), ("U02", None), ("U03", -1), ("NOBODY", 2)], "USUARIO_DOCUMENTO string, top_k int")
+    got = rp.recommend(model, req, params)
+    rows = {(r.USUARIO_DOCUMENTO, r.posicion): r.ID_OFERTA_FORMATIVA for r in got.collect()}
+    want5 = {(r.USUARIO_DOCUMENTO, r.posicion): r.ID_OFERTA_FORMATIVA
+             for r in full5.where(F.col("USUARIO_DOCUMENTO") == "U01").collect()}
+    assert {k: v for k, v in rows.items() if k[0] == "U01"} == want5
+    full3 = {(r.USUARIO_DOCUMENTO, r.posicion): r.ID_OFERTA_FORMATIVA
+             for r in rp.recommend(model, None, params).where(F.col("USUARIO_DOCUMENTO").isin("U02", "U03")).collect()}
+    assert {k: v for k, v in rows.items() if k[0] in ("U02", "U03")} == full3
+    assert len([k for k in rows if k[0] == "NOBODY"]) == 2  # unknown user: popularity + novelty only
