@@ -118,11 +118,13 @@ def interaction_rows(requests: DataFrame, answers: DataFrame) -> DataFrame:
     requests: (request_id, usuario, nombre_usuario, top_k, ts)
     answers:  (request_id, respuesta, tokens_salida, latencia_ms)
     ``id`` is a stable hash of the request id and time, so a re-run of the same
-    batch produces the same keys (no run-dependent ids).
+    batch produces the same keys (no run-dependent ids).  ``request_id`` is
+    kept so detail rows can be linked (SNK-2).
     """
     r = requests.join(answers, "request_id", "left")
     top_k = F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(3))
     return r.select(
+        "request_id",
         F.xxhash64("request_id", "ts").alias("id"),
         text_sanitise(F.col("usuario")).alias("usuario"),
         text_sanitise(F.col("nombre_usuario")).alias("nombre_usuario"),

@@ -155,8 +155,11 @@ def route_decision(cands: DataFrame, queries: DataFrame, nodes: DataFrame,
              .when(s1 < p.low, F.lit("score bajo ("))
              .when(diff < p.gap, F.lit("empate (diff="))
              .otherwise(F.lit("score ok (")))
-    # One formatter call on the value the reason shows (s1, or the gap for a tie).
-    reason = F.concat(label, fmt_fixed(F.when(tie, diff).otherwise(s1), 4), F.lit(")"))
+    # The value the reason shows (s1, or the gap for a tie) is materialised as a
+    # column first, so the formatter's expression tree stays small in codegen.
+    c = c.withColumn("_shown", F.when(tie, diff).otherwise(s1)).withColumn("_label", label)
+    c = c.withColumn("_reason", F.concat(F.col("_label"), fmt_fixed(F.col("_shown"), 4), F.lit(")")))
+    reason = F.col("_reason")
     fast_fmt = ROUTE_METHOD_FAST.split("{}")
     llm_fmt = ROUTE_METHOD_LLM.split("{}")
     method = F.when(fast, F.concat(F.lit(fast_fmt[0]), reason, F.lit(fast_fmt[1]))) \
