@@ -33,7 +33,8 @@ def _block_top_k(k: int, exclude_self: bool):
         left = pdf[pdf["side"] == 0]
         right = pdf[pdf["side"] == 1]
         if left.empty or right.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []})
+            return pd.DataFrame({"left_id": pd.Series([], dtype="int64"), "right_id": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
         right = right.sort_values("id", kind="stable")
         lv = np.stack(left["vec"].to_numpy()).astype(np.float64)
         rv = np.stack(right["vec"].to_numpy()).astype(np.float64)

@@ -32,13 +32,22 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only if unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only if unset.
+
+    A scratch directory is only ever created when nothing is configured (local
+    runs and tests); on a cluster the configured shared folder is used as is.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions manage checkpoints server-side
+        return current
     if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        current = sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="aularank-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
