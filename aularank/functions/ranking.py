@@ -28,12 +28,14 @@ def segment_positions(df: DataFrame, seg_cols: Sequence[str], order: Sequence[Co
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     seg = [F.col(c) for c in seg_cols]
     # The partition id is read by two branches below; checkpointing fixes the
     # sampled range bounds and the ids once (no reliance on exchange reuse).
-    ranged = df.repartitionByRange(parts, *seg, *order).withColumn("_pid", F.spark_partition_id()) \
-        .checkpoint(eager=True)
+    # Without an explicit count AQE may coalesce adjacent range partitions,
+    # which keeps every partition a contiguous, ordered key range.
+    ranged = (df.repartitionByRange(partitions, *seg, *order) if partitions
+              else df.repartitionByRange(*seg, *order))
+    ranged = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     local = ranged.withColumn(
         "_lpos", F.row_number().over(Window.partitionBy("_pid", *seg_cols).orderBy(*order)))
     counts = local.groupBy("_pid", *seg_cols).agg(F.max("_lpos").alias("_cnt"))
