@@ -158,3 +158,14 @@ def last_sentence_trim(col: Column) -> Column:
 def text_sanitise(col: Column) -> Column:
     """Null -> empty string; Spark strings are already valid UTF-8 (SCL-13)."""
     return F.coalesce(col.cast("string"), F.lit(""))
+
+
+def json_field(col: Column, field: str, default=None) -> Column:
+    """SCL-14: ``payload.get(field, default)`` on a JSON text column."""
+    v = F.get_json_object(col, f"$.{field}")
+    return v if default is None else F.coalesce(v, F.lit(default))
+
+
+def latency_ms(start: Column, end: Column) -> Column:
+    """SCL-16: whole milliseconds between two timestamps."""
+    return (F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))).cast("int")

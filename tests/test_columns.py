@@ -77,3 +77,15 @@ def test_composite_rating_edges(spark):
     got = {r.ID_OFERTA_FORMATIVA: r.RATING_COMPUESTO for r in clean_enrolments(raw).collect()}
     assert got == {"a": 2.5, "b": 0.5, "c": 2.5, "d": 0.5}
     assert not math.isnan(got["a"])
+
+
+def test_json_field_and_latency(spark):
+    import datetime as dt
+
+    from aularank.functions.columns import json_field, latency_ms
+
+    df = spark.createDataFrame([('{"text": "a", "chunk": 3}', dt.datetime(2024, 1, 1, 0, 0, 0),
+                                 dt.datetime(2024, 1, 1, 0, 0, 1, 250000))], "p string, a timestamp, b timestamp")
+    r = df.select(json_field(F.col("p"), "text", "").alias("t"), json_field(F.col("p"), "filename", "").alias("f"),
+                  latency_ms(F.col("a"), F.col("b")).alias("ms")).first()
+    assert (r.t, r.f, r.ms) == ("a", "", 1250)
