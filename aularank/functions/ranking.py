@@ -64,9 +64,11 @@ def first_untaken(users: DataFrame, ranking: DataFrame, taken: DataFrame, k: int
         .select(user, pos)
     )
     t = taken_pos.groupBy(user).agg(F.count(F.lit(1)).alias("_t"))
-    size = rk.groupBy(*seg).agg(F.max(pos).alias("_n")) if seg else rk.agg(F.max(pos).alias("_n"))
     need = users.select(user, *seg).join(t, user, "left")
-    need = need.join(size, seg) if seg else need.crossJoin(F.broadcast(size))  # one-row aggregate
+    if seg:
+        need = need.join(rk.groupBy(*seg).agg(F.max(pos).alias("_n")), seg)
+    else:  # one ranking: its length is a single scalar
+        need = need.withColumn("_n", F.lit(int(rk.agg(F.max(pos)).first()[0] or 0)))
     upto = F.least(F.lit(k) + F.coalesce(F.col("_t"), F.lit(0)), F.col("_n"))
     positions = need.where(upto >= 1).select(
         user, *seg, F.explode(F.sequence(F.lit(1), upto)).alias(pos))
