@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aularank.llm import op7_quality, op9_simhash
+from aularank.llm import op7_quality, op8_decontaminate, op9_simhash, op10_packing
 from aularank.llm.common import row_hash, table, use_checkpoint_dir
 
 SHINGLE_WORDS = 4  # the near-duplicate operator's contract
@@ -30,7 +30,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9_simhash.keep_one(docs, shingle=SHINGLE_WORDS, distance=MAX_DISTANCE)
 
 
-STAGES = [("quality rules", quality), ("near-duplicates", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item."""
+    return op8_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins of all remaining rows."""
+    return op10_packing.pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("near-duplicates", near_dedup), ("decontamination", decontaminate), ("packing", pack)]
 
 #: The classifier's verdicts, the fingerprints' components and best-fit bins have no SQL form.
 ORACLE_SQL = None

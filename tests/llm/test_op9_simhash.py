@@ -1,0 +1,106 @@
+import random
+
+import numpy as np
+import xxhash
+
+from aularank.llm import op9_simhash as S
+from aularank.llm.components import components
+
+
+def naive(text):
+    words = (text or "").encode().lower().split()
+    own = [b" ".join(words[i: i + 4]) for i in range(len(words) - 3)] or ([b" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(x, 42) for x in own]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def groups(fps, distance):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_fingerprint():
+    for t in ["", " \n", "a", "a b c", "a b c d", "A b C d e a b c d e", "é ü " * 50, "x " * 70_000]:
+        assert S.fingerprint(t.encode()) == naive(t)
+
+
+def planted(rng):
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    for _ in range(200):  # near some earlier one
+        x = rng.choice(fps)
+        for b in rng.sample(range(64), rng.randint(1, 6)):
+            x ^= 1 << b
+        fps.append(x)
+    centre = rng.getrandbits(64)  # a dense group
+    fps += [centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(300)]
+    return sorted(set(fps))
+
+
+def test_links_lose_nothing(spark):
+    fps = planted(random.Random(4))
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = {}
+    for f, g in zip(signed, groups(fps, 4)):
+        want.setdefault(g, set()).add(f)
+    for block in (S.BLOCK, 16):  # 16: hot keys are split into block pairs
+        links = S.links(df, 4, block)
+        assert links.count() < 20 * len(fps)
+        low = {r["u"]: r["m"] for r in components(links).collect()}
+        got = {}
+        for f in signed:
+            got.setdefault(low.get(f, f), set()).add(f)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_rows(spark, docs_of):
+    rng = random.Random(8)
+    base = [" ".join(rng.choices(["al", "be", "ga", "de", "ep", "ze"], k=200)) for _ in range(20)]
+    rows = [(100 + i, t) for i, t in enumerate(base)] + [(50 + i, t.upper()) for i, t in enumerate(base)] + [(i, base[0] + " q") for i in range(3)]
+    rows += [(900, None), (901, ""), (902, " \t"), (None, base[1]), (7, base[2]), (7, base[2])]
+    df = docs_of(rows)
+    got = S.near_duplicates(df).collect()
+    fps = [naive(t) for _, t in rows]
+    comp = groups(fps, 4)
+    first = {}
+    for (i, _), g in zip(rows, comp):
+        if i is not None:
+            first[g] = min(first.get(g, i), i)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = sorted((-1 if i is None else i, signed(f), first[g]) for (i, _), f, g in zip(rows, fps, comp))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["fp"], r["component_id"]) for r in got) == want
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(first.values())
+    assert S.near_duplicates(df.limit(0)).count() == 0 and S.keep_one(df.limit(0)).count() == 0
+
+
+def test_thresholds_cover_the_distance():
+    rng = np.random.default_rng(1)
+    for m in (3, 4, 5):
+        pairs = np.full((64, 64), 25)
+        np.fill_diagonal(pairs, 50)
+        g = S.group_bits(pairs, 100, m)
+        assert sorted(b for x in g for b in x) == list(range(64))
+        _, t = S.allocate(g, [10.0 * (i + 1) for i in range(m)], np.full(64, 0.5), 1000, 4)
+        assert sum(x + 1 for x in t) == 5 and min(t) >= -1
+        masks = np.array(S.masks(g, t), np.uint64)
+        for _ in range(200):
+            a = int(rng.integers(0, 1 << 63))
+            b = a ^ sum(1 << int(x) for x in rng.choice(64, 4, replace=False))
+            assert any(a & int(k) == b & int(k) for k in masks)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(None, 3), (5, 5), (100, 101), (101, 100)], "a long, b long")
+    got = {r["u"]: r["m"] for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
