@@ -36,7 +36,7 @@ class QualityParams:
     epochs: int = 12
     rate: float = 0.5
     l2: float = 1e-6
-    threshold: float = 0.1  # leans to keeping: rows with noise score far below it
+    threshold: float = 0.25  # leans to keeping: rows with noise score far below it
 
 
 class _Buckets(dict):

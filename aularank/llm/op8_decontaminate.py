@@ -114,14 +114,14 @@ def blocks(items: DataFrame, p: DecontaminateParams) -> Iterator[list[tuple]]:
 HITS = "array<struct<item_id:long,n_shingles:long,n_found:long>>"
 
 
-def with_hits(docs: DataFrame, items: DataFrame, params: DecontaminateParams = DecontaminateParams(), carry: list[str] | None = None) -> DataFrame:
+def with_hits(docs: DataFrame, items: DataFrame, params: DecontaminateParams = DecontaminateParams(), carry: list[str] | None = None, clean_only: bool = False) -> DataFrame:
     """The ``carry`` columns (all by default) of every row and ``hits__``: the items that the text holds.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; shingles are distinct runs of five
     words, with fewer words the whole sequence, so a very short item meets only texts equal to it.  Null and empty
     texts and items have no shingles and meet nothing.  Equal items count once under their smallest item_id; rows
     are judged one by one, repeated or not; long texts whole; empty tables give empty results.  Carried columns keep
-    their names.
+    their names.  With ``clean_only``, the rows that hold no item, without ``hits__``.
     """
     carry = docs.columns if carry is None else carry
     fields = [T.StructField(n, docs.schema[n].dataType) for n in carry]
@@ -144,7 +144,10 @@ def with_hits(docs: DataFrame, items: DataFrame, params: DecontaminateParams = D
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([(a or []) + b for a, b in zip(before, found)], struct)], part.schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out.select(*[F.col(i).alias(n) for n, i in zip(carry, inner)], "hits__")
+    kept = [F.col(i).alias(n) for n, i in zip(carry, inner)]
+    if clean_only:
+        return out.where("size(hits__) = 0").select(*kept)
+    return out.select(*kept, F.col("hits__"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, params: DecontaminateParams = DecontaminateParams()) -> DataFrame:
@@ -155,4 +158,4 @@ def contaminated(docs: DataFrame, items: DataFrame, params: DecontaminateParams
 
 def decontaminate(docs: DataFrame, items: DataFrame, params: DecontaminateParams = DecontaminateParams()) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    return with_hits(docs, items, params).where("size(hits__) = 0").drop("hits__")
+    return with_hits(docs, items, params, clean_only=True)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aularank.llm.common import cut, slices, utf8
+from aularank.llm.common import cut, row_hash, slices, utf8
 from aularank.llm.components import components
 
 BITS = 64
