@@ -149,6 +149,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: QualityParams) -> Dat
     return texts.select("label", "h", "text").mapInArrow(run, "label int, h long, f binary, v binary")
 
 
+def _calibrate(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of Platt scaling: Newton steps, halved until the loss falls."""
+    def loss(ab: np.ndarray) -> float:
+        m = ab[0] * z + ab[1]
+        return float((np.logaddexp(0, m) - t * m).sum()) + 1e-6 * float(ab @ ab)
+
+    ab = np.array([1.0, 0.0])
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(ab[0] * z + ab[1], -30, 30)))
+        s = q * (1 - q)
+        g = np.array([((q - t) * z).sum(), (q - t).sum()]) + 2e-6 * ab
+        hess = np.array([[(s * z * z).sum(), (s * z).sum()], [(s * z).sum(), s.sum()]]) + np.eye(2) * 1e-4
+        step, scale, now = np.linalg.solve(hess, g), 1.0, loss(ab)
+        while scale > 1e-6 and loss(ab - scale * step) > now:
+            scale /= 2
+        ab = ab - scale * step
+        if np.abs(scale * step).max() < 1e-7:
+            break
+    return (float(ab[0]), float(ab[1])) if ab[0] > 0 else (1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:
     """Fits on the bounded sample (AdaGrad over single rows), then calibrates by Platt scaling on its held-out fold."""
     rows = labelled_sample(docs, labels, p).collect()  # bounded: 2 * sample_per_class sparse rows
@@ -176,19 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams())
     y = np.array([x[0] for x in held], float)
     n1, n0 = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))  # Platt's smoothed targets
-    a, c = 1.0, 0.0
-    for _ in range(200):
-        q = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-        g = np.array([((q - t) * z).sum(), (q - t).sum()])
-        s = np.maximum(q * (1 - q), 1e-6)
-        hess = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(hess, g)
-        a, c = a - step[0], c - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    if not np.isfinite([a, c]).all() or a <= 0:
-        a, c = 1.0, 0.0
-    return QualityModel(w.astype(np.float32), bias, float(a), float(c), p.threshold)
+    slope, shift = _calibrate(z, t)
+    return QualityModel(w.astype(np.float32), bias, slope, shift, p.threshold)
 
 
 COLUMNS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"),
