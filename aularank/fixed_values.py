@@ -91,7 +91,6 @@ COURSE_NOT_FOUND = "Curso no encontrado"
 RESPONSE_DEFAULT_COURSE = "Curso"
 RESPONSE_DEFAULT_JUSTIFICATION = "Relevante para tu perfil"
 NO_RATING_TEXT = "sin calificación registrada"
-DEFAULT_AUDIENCE_TEXT = "Todos los niveles"
 
 # ---- FIXED VALUES: prompt templates --------------------------------------
 

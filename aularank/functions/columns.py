@@ -6,6 +6,8 @@ so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,19 +121,15 @@ def fmt_fixed(col: Column, decimals: int) -> Column:
     return F.when(col.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, body))
 
 
-def fmt_int_like(col: Column) -> Column:
-    """Python ``str(int)`` for integral columns."""
-    return col.cast("long").cast("string")
-
-
 # Default token pattern (UDF-3): ASCII word runs, or any single other non-space
 # character.  Spelled out so Java and RE2 engines agree character by character.
 TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f]"
 
 
-def token_count(col: Column) -> Column:
-    """Default token counter (UDF-3 fallback): words and punctuation marks."""
-    return F.size(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(TOKEN_PATTERN), 0))
+def token_count(col: Column, counter: Callable[[Column], Column] | None = None) -> Column:
+    """UDF-3: ``counter`` (a user's tokenizer as a column function), by default words and punctuation marks."""
+    text = F.coalesce(col, F.lit(""))
+    return counter(text) if counter is not None else F.regexp_count(text, F.lit(TOKEN_PATTERN))
 
 
 def last_sentence_trim(col: Column) -> Column:

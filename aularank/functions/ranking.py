@@ -46,33 +46,45 @@ def segment_positions(df: DataFrame, seg_cols: Sequence[str], order: Sequence[Co
         *cols, (F.col("_off") + F.col("_lpos")).cast("int").alias(name))
 
 
+#: Copies of a ranking that a join by position or item is spread over (many users ask for the same few positions).
+SALTS = 16
+
+
+def _salted(rows: DataFrame, user: str, salts: int) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(user), F.lit(salts)).cast("int"))
+
+
+def _copies(ranking: DataFrame, salts: int) -> DataFrame:
+    return ranking.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
 def first_untaken(users: DataFrame, ranking: DataFrame, taken: DataFrame, k: int,
-                  user: str, item: str, seg_cols: Sequence[str] = (), pos: str = "pos") -> DataFrame:
+                  user: str, item: str, seg_cols: Sequence[str] = (), pos: str = "pos", salts: int = SALTS) -> DataFrame:
     """First ``k`` untaken ranking positions per user.
 
-    users:   (user, *seg_cols) - one row per user.
+    users:   (user, *seg_cols[, _k]) - one row per user; ``_k``: the user's own ``k``.
     ranking: (*seg_cols, item, pos, ...) - positions 1..n per segment.
     taken:   (user, item).
+    ``salts``: copies of the ranking (1 where a segment has few users).
     Returns ``ranking`` columns plus ``user`` and ``slot`` (1..k).
     """
     seg = list(seg_cols)
-    rk = ranking.select(*seg, item, pos)
+    own_k = F.col("_k") if "_k" in users.columns else F.lit(k)
+    wanted = users.select(user, *seg, own_k.cast("int").alias("_k"))
+    # A hot course, and the first positions, are asked for by very many users: both joins are salted by user.
     taken_pos = (
-        taken.select(user, item)
-        .join(users.select(user, *seg), user)
-        .join(rk, [*seg, item])
+        _salted(taken.select(user, item).join(wanted.drop("_k"), user), user, salts)
+        .join(_copies(ranking.select(*seg, item, pos), salts), [*seg, item, "_salt"])
         .select(user, pos)
     )
     t = taken_pos.groupBy(user).agg(F.count(F.lit(1)).alias("_t"))
-    need = users.select(user, *seg).join(t, user, "left")
-    if seg:
-        need = need.join(rk.groupBy(*seg).agg(F.max(pos).alias("_n")), seg)
-    else:  # one ranking: its length is a single scalar
-        need = need.withColumn("_n", F.lit(int(rk.agg(F.max(pos)).first()[0] or 0)))
-    upto = F.least(F.lit(k) + F.coalesce(F.col("_t"), F.lit(0)), F.col("_n"))
+    need = wanted.join(t, user, "left")
+    length = ranking.groupBy(*seg).agg(F.max(pos).alias("_n"))  # a row a segment; one row without segments
+    need = need.join(length, seg) if seg else need.crossJoin(length)
+    upto = F.least(F.col("_k") + F.coalesce(F.col("_t"), F.lit(0)), F.col("_n"))
     positions = need.where(upto >= 1).select(
-        user, *seg, F.explode(F.sequence(F.lit(1), upto)).alias(pos))
+        user, *seg, "_k", F.explode(F.sequence(F.lit(1), upto)).alias(pos))
     free = positions.join(taken_pos, [user, pos], "left_anti")
     w = Window.partitionBy(user).orderBy(F.col(pos))
-    first = free.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= k)
-    return first.join(ranking, [*seg, pos])
+    first = free.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= F.col("_k")).drop("_k")
+    return _salted(first, user, salts).join(_copies(ranking, salts), [*seg, pos, "_salt"]).drop("_salt")

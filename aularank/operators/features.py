@@ -142,6 +142,21 @@ def course_info(catalog: DataFrame, course_id) -> DataFrame:
     return catalog.where(F.col(COURSE) == F.lit(str(course_id))).limit(1)
 
 
+def courses_info(catalog: DataFrame, course_ids: DataFrame) -> DataFrame:
+    """FLT-4 batch form: the catalog rows of the requested courses; unknown ids give nothing."""
+    return catalog.join(course_ids.select(F.col(COURSE).cast("string").alias(COURSE)).distinct(), COURSE, "left_semi")
+
+
+def new_courses_for_users(users: DataFrame, ratings_taken: DataFrame, catalog: DataFrame) -> DataFrame:
+    """SET-2 / FLT-2: (user, course) for the active courses that each requested user has not taken.
+
+    The result is users x catalog by definition: ask for a bounded set of users.  The ranked lists use pruned
+    plans instead.
+    """
+    pairs = users.select(USER).distinct().join(catalog.where(F.col("ACTIVO") == 1).select(COURSE), F.lit(True))
+    return pairs.join(ratings_taken.select(USER, COURSE), [USER, COURSE], "left_anti")
+
+
 def user_enrolments(enrol: DataFrame, users: DataFrame) -> DataFrame:
     """FLT-3 batch form: every enrolment row of the requested users."""
     return enrol.join(users.select(USER).distinct(), USER, "left_semi")

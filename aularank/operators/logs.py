@@ -6,11 +6,15 @@ reports are DataFrame expressions (or temp views) over them.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aularank.fixed_values import RECOMMENDATION_MESSAGE, SOURCE_RECOMMENDER, TASKS
-from aularank.functions.columns import round_half_away, text_sanitise, token_count
+from aularank.functions.columns import round_half_away, text_sanitise
+
+log_ = logging.getLogger(__name__)
 
 # Declared column widths (VARCHAR(n)) of the two log tables.
 LOG_WIDTHS = {"usuario": 100, "nombre_usuario": 200, "tarea": 20, "fuente_datos": 50}
@@ -28,26 +32,34 @@ HISTORY_COLUMNS = [
 
 # ---- LOG-1 / LOG-2 ----------------------------------------------------------
 
-def day_of(ts_col: str = "timestamp", tz: str | None = None):
-    """DATE(timestamp); with ``tz`` the day boundary follows that zone (Q26)."""
+def day_of(ts_col: str = "timestamp", tz: str | None = None, zoneless: bool = False):
+    """DATE(timestamp) in the session's zone; with ``tz`` the day boundary follows that zone (Q26).
+
+    A timestamp is an instant, so it is read in the session's zone before it is moved to ``tz``; a timestamp
+    without zone is taken as UTC.
+    """
     ts = F.col(ts_col)
     if tz:
-        ts = F.from_utc_timestamp(ts.cast("timestamp"), tz)
+        local = F.convert_timezone(F.current_timezone(), F.lit(tz), ts.cast("timestamp_ntz"))
+        ts = F.convert_timezone(F.lit("UTC"), F.lit(tz), ts) if zoneless else local
     return F.to_date(ts)
 
 
+def metric_columns(log: DataFrame, tz: str | None = None) -> tuple[list, list]:
+    """Keys and aggregates of LOG-1."""
+    tokens = F.coalesce(F.col("tokens_entrada"), F.lit(0)) + F.coalesce(F.col("tokens_salida"), F.lit(0))
+    zoneless = dict(log.dtypes)["timestamp"] == "timestamp_ntz"
+    return [day_of("timestamp", tz, zoneless).alias("fecha"), F.col("tarea")], [
+        F.count(F.lit(1)).alias("consultas"),
+        round_half_away(F.avg("latencia_ms"), 0).alias("latencia_promedio_ms"),
+        F.sum(tokens.cast("long")).alias("tokens_totales"),
+    ]
+
+
 def daily_metrics(log: DataFrame, tz: str | None = None) -> DataFrame:
     """LOG-1: per day and task: count, rounded mean latency, total tokens."""
-    tokens = F.coalesce(F.col("tokens_entrada"), F.lit(0)) + F.coalesce(F.col("tokens_salida"), F.lit(0))
-    return (
-        log.groupBy(day_of("timestamp", tz).alias("fecha"), "tarea")
-        .agg(
-            F.count(F.lit(1)).alias("consultas"),
-            round_half_away(F.avg("latencia_ms"), 0).alias("latencia_promedio_ms"),
-            F.sum(tokens.cast("long")).alias("tokens_totales"),
-        )
-        .orderBy(F.col("fecha").desc(), F.col("tarea").asc())
-    )
+    keys, aggregates = metric_columns(log, tz)
+    return log.groupBy(*keys).agg(*aggregates).orderBy(F.col("fecha").desc(), F.col("tarea").asc())
 
 
 def recommendation_history(log: DataFrame, details: DataFrame) -> DataFrame:
@@ -90,7 +102,7 @@ def _duplicate_keys(df: DataFrame, table: str, key: str = "id") -> DataFrame:
 def constraint_report(log: DataFrame, details: DataFrame) -> DataFrame:
     """DQ-1: ``(tabla, regla, n)`` violation counts for every declared constraint."""
     bad_task = F.col("tarea").isNotNull() & ~F.col("tarea").isin(*TASKS)
-    orphans = details.join(log.select(F.col("id").alias("conversacion_id")), "conversacion_id", "left_anti")
+    orphans = details.where(F.col("conversacion_id").isNotNull()).join(log.select(F.col("id").alias("conversacion_id")), "conversacion_id", "left_anti")
     orphan_row = orphans.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("recomendaciones_detalle").alias("tabla"), F.lit("foreign_key:conversacion_id").alias("regla"), "n")
     return (
@@ -112,33 +124,49 @@ def cascade_delete(log: DataFrame, details: DataFrame, deleted_ids: DataFrame) -
 
 # ---- SNK-1..3: building and appending log rows ------------------------------
 
-def interaction_rows(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """SNK-1 rows for recommendation interactions.
-
-    requests: (request_id, usuario, nombre_usuario, top_k, ts)
-    answers:  (request_id, respuesta, tokens_salida, latencia_ms)
-    ``id`` is a stable hash of the request id and time, so a re-run of the same
-    batch produces the same keys (no run-dependent ids).  ``request_id`` is
-    kept so detail rows can be linked (SNK-2).
-    """
+def _logged(requests: DataFrame, answers: DataFrame, mensaje, tarea, fuente, entrada) -> DataFrame:
     r = requests.join(answers, "request_id", "left")
-    top_k = F.when(F.col("top_k") > 0, F.col("top_k")).otherwise(F.lit(3))
     return r.select(
         "request_id",
-        F.xxhash64("request_id", "ts").alias("id"),
+        F.md5(F.concat_ws("|", F.col("request_id").cast("string"), F.col("ts").cast("string"))).alias("id"),
         text_sanitise(F.col("usuario")).alias("usuario"),
         text_sanitise(F.col("nombre_usuario")).alias("nombre_usuario"),
-        F.format_string(RECOMMENDATION_MESSAGE.replace("{}", "%d"), top_k).alias("mensaje"),
+        mensaje.alias("mensaje"),
         text_sanitise(F.col("respuesta")).alias("respuesta"),
-        F.lit("recomendacion").alias("tarea"),
-        F.lit(SOURCE_RECOMMENDER).alias("fuente_datos"),
-        F.lit(0).alias("tokens_entrada"),
+        tarea.alias("tarea"),
+        fuente.alias("fuente_datos"),
+        entrada.cast("int").alias("tokens_entrada"),
         F.col("tokens_salida").cast("int").alias("tokens_salida"),
         F.col("latencia_ms").cast("int").alias("latencia_ms"),
         F.col("ts").alias("timestamp"),
     )
 
 
+def interaction_rows(requests: DataFrame, answers: DataFrame, default_top_k: int = 3) -> DataFrame:
+    """SNK-1 rows for recommendation interactions.
+
+    requests: (request_id, usuario, nombre_usuario, top_k, ts)
+    answers:  (request_id, respuesta, tokens_salida, latencia_ms)
+    ``id`` is a 128-bit digest of the request id and time, so a re-run of the same
+    batch produces the same keys (no run-dependent ids).  ``request_id`` is
+    kept so detail rows can be linked (SNK-2).  A null or zero ``top_k`` is logged as the default,
+    a negative one as it came.
+    """
+    top_k = F.when(F.col("top_k") != 0, F.col("top_k")).otherwise(F.lit(default_top_k))
+    return _logged(requests, answers, F.format_string(RECOMMENDATION_MESSAGE.replace("{}", "%d"), top_k),
+                   F.lit("recomendacion"), F.lit(SOURCE_RECOMMENDER), F.lit(0))
+
+
+def retrieval_rows(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """SNK-1 rows for answered questions.
+
+    requests: (request_id, usuario, nombre_usuario, mensaje, ts)
+    answers:  (request_id, respuesta, fuente_datos, tokens_entrada, tokens_salida, latencia_ms)
+    """
+    return _logged(requests, answers, text_sanitise(F.col("mensaje")), F.lit("sifods"),
+                   F.col("fuente_datos"), F.col("tokens_entrada"))
+
+
 def detail_rows(recs: DataFrame, interactions: DataFrame) -> DataFrame:
     """SNK-2: one detail row per recommendation, positions 1..N, decimal casts.
 
@@ -150,7 +178,7 @@ def detail_rows(recs: DataFrame, interactions: DataFrame) -> DataFrame:
     j = recs.join(ids, "request_id")
     dec = lambda c, p, s: F.col(c).cast(f"decimal({p},{s})")
     return j.select(
-        F.xxhash64("conversacion_id", "posicion").alias("id"),
+        F.concat_ws(":", F.col("conversacion_id").cast("string"), F.col("posicion").cast("string")).alias("id"),
         "conversacion_id",
         text_sanitise(F.col("USUARIO_DOCUMENTO")).alias("usuario"),
         F.col("posicion").cast("smallint").alias("posicion"),
@@ -172,17 +200,27 @@ def detail_rows(recs: DataFrame, interactions: DataFrame) -> DataFrame:
     )
 
 
-def append_batch(df: DataFrame, path: str, batch_id: str, enabled: bool = True) -> None:
-    """SNK-1/2/3: one atomic write per table per batch; re-running a batch replaces it.
+def append_batch(df: DataFrame, path: str, batch_id: str, enabled: bool = True, strict: bool = True) -> bool:
+    """SNK-1/2/3, LOG-3: rows laid out by day and, where they have one, task; a re-run batch replaces its own rows.
 
-    Rows are partitioned by ``batch_id`` and written with dynamic partition
-    overwrite, so a retried batch never duplicates rows.
+    The batch id is the last partition column and the write replaces only the partitions that it touches (a writer
+    option, not a session setting), so a retried batch never duplicates rows.  Returns whether rows were written;
+    a failed write raises, or with ``strict`` off is logged and the job goes on (an answer is not lost with its log).
     """
     if not enabled:
-        return
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("batch_id").parquet(path)
+        return False
+    keys = ["dia", *(["tarea_"] if "tarea" in df.columns else []), "batch_id"]
+    out = df.withColumn("dia", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id))
+    if "tarea" in df.columns:
+        out = out.withColumn("tarea_", F.col("tarea"))
+    try:
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    except Exception:
+        if strict:
+            raise
+        log_.warning("batch %s was not written to %s", batch_id, path, exc_info=True)
+        return False
+    return True
 
 
 def schema_check(spark: SparkSession, tables=("conversaciones_agente", "recomendaciones_detalle"),
@@ -192,7 +230,3 @@ def schema_check(spark: SparkSession, tables=("conversaciones_agente", "recomend
             (("table", tables), ("view", views)) for name in names]
     return spark.createDataFrame(rows, "object string, kind string, exists boolean")
 
-
-def answer_token_totals(recs: DataFrame) -> DataFrame:
-    """Output tokens per user for a recommendation answer (UDF-3 default counter)."""
-    return recs.groupBy("USUARIO_DOCUMENTO").agg(F.sum(token_count(F.col("justificacion"))).alias("tokens_salida"))

@@ -7,6 +7,10 @@ queries at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,16 +19,24 @@ from aularank.fixed_values import (
     HELP_NO_RESULTS,
     NODE_TEXT_KEYWORDS,
     NODE_TEXT_QUESTIONS,
+    PASSAGE_PREFIX,
     PROMPT_BASE,
     PROMPT_ROUTER,
     PROMPT_SIFODS,
+    QUERY_PREFIX,
     ROUTE_METHOD_FAST,
     ROUTE_METHOD_LLM,
+    ROUTE_METHOD_NO_INDEX,
+    ROUTE_REASON_HIGH,
+    ROUTE_REASON_LOW,
+    ROUTE_REASON_OK,
+    ROUTE_REASON_TIE,
     SOURCE_NONE,
 )
 from aularank.functions.columns import fmt_fixed, round_half_away, token_count
 from aularank.operators.vectors import top_k_dot
 from aularank.params import RouterParams
+from aularank.session import ensure_checkpoint_dir
 
 # A tree node with its children kept as raw JSON text (expanded level by level).
 NODE_SCHEMA = T.StructType([
@@ -43,7 +55,9 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: one row per tree document (whole file); a missing path -> empty."""
     try:
         return spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
-    except Exception:  # noqa: BLE001 - the reference treats a missing tree as an empty index
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # only a missing tree is an empty index
+            raise
         return spark.createDataFrame([], "json string")
 
 
@@ -57,21 +71,23 @@ def node_text(node: Column | None = None) -> Column:
         .otherwise(base)
 
 
-def flatten_tree(trees: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_tree(trees: DataFrame) -> DataFrame:
     """TRE-1: preorder nodes of ``root.children[0]`` that have a knowledge base.
 
     Output: ``(knowledge_base, name, description, keywords, path, embed_text,
     ord)``; ``ord`` is the position path, so ordering by it is preorder.
-    Expanded one tree level per step (depth is the loop bound, not row count).
+    Expanded one tree level per step until a level is empty, whatever the depth.  A level is checkpointed, so the
+    next one is read from it and nothing is parsed again from the root.
     """
+    ensure_checkpoint_dir(trees.sparkSession)
     root = trees.select(F.from_json("json", NODE_SCHEMA).alias("n"))
     level = root.select(
         F.from_json(F.col("n.children")[0], NODE_SCHEMA).alias("n"),
         F.array().cast("array<string>").alias("parents"),
         F.array(F.lit(0)).alias("ord"),
-    ).where(F.col("n").isNotNull())
+    ).where(F.col("n").isNotNull()).checkpoint()
     out = None
-    for _ in range(max_depth):
+    while out is None or not level.isEmpty():
         cur = level.select(
             "n", F.concat("parents", F.array(F.col("n.name"))).alias("names"), "ord")
         emitted = cur.where(F.col("n.knowledge_base").isNotNull() & (F.col("n.knowledge_base") != "")).select(
@@ -84,49 +100,61 @@ def flatten_tree(trees: DataFrame, max_depth: int = 64) -> DataFrame:
         level = cur.select(F.posexplode(F.coalesce(F.col("n.children"), F.array().cast("array<string>")))
                            .alias("i", "child"), "names", "ord").select(
             F.from_json("child", NODE_SCHEMA).alias("n"), F.col("names").alias("parents"),
-            F.concat("ord", F.array("i")).alias("ord"))
-        if level.isEmpty():
-            break
+            F.concat("ord", F.array("i")).alias("ord")).checkpoint()
     return out.withColumn("embed_text", node_text()).drop("hypothetical_questions")
 
 
 # ---- VEC-1: encoder hook -------------------------------------------------------
 
-def embed(df: DataFrame, text_col: str, prefix: str, encoder=None, dim: int = 256) -> DataFrame:
-    """VEC-1: add a unit-length ``embedding`` for ``prefix + text``.
+def embed(df: DataFrame, text_col: str, prefix: str = QUERY_PREFIX, encoder=None, dim: int = 256) -> DataFrame:
+    """VEC-1 / UDF-2: add a unit-length ``embedding`` for ``prefix + text`` (``PASSAGE_PREFIX`` for nodes).
 
-    ``encoder``: optional callable ``pandas.Series[str] -> pandas.Series[list]``
-    (a user model, run as an iterator pandas UDF, loaded once per worker).
-    Default: hashed term frequencies (Spark ML) normalised to unit length.
+    ``encoder``: optional function without arguments that loads a model once per task and returns a callable
+    ``pandas.Series[str] -> pandas.Series[list]``; it runs as an iterator pandas UDF.
+    Default: hashed term frequencies times inverse document frequencies (Spark ML), normalised to unit length.
     """
     text = F.concat(F.lit(prefix), F.coalesce(F.col(text_col), F.lit("")))
     if encoder is not None:
-        udf = F.pandas_udf(encoder, T.ArrayType(T.FloatType()))
-        return df.withColumn("embedding", udf(text))
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = encoder()
+            for batch in batches:
+                yield model(batch)
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return df.withColumn("embedding", F.pandas_udf(run, T.ArrayType(T.FloatType()))(text))
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
     tmp = df.withColumn("_t", text)
     tok = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+", toLowercase=True).transform(tmp)
     tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim).transform(tok)
-    nv = Normalizer(inputCol="_tf", outputCol="_n", p=2.0).transform(tf)
-    return nv.withColumn("embedding", vector_to_array("_n", "float32")).drop("_t", "_w", "_tf", "_n")
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
+    # tf * (1 + idf): a word that every text has still counts, so no text is a zero vector.
+    both = idf.withColumn("_v", F.zip_with(vector_to_array("_tf"), vector_to_array("_idf"), lambda a, b: a + b))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda t, x: t + x * x))
+    unit = both.withColumn("_n", norm).withColumn(
+        "embedding", F.transform("_v", lambda x: (x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).cast("float")))
+    return unit.drop("_t", "_w", "_tf", "_idf", "_v", "_n")
+
+
+def node_index(trees: DataFrame, encoder=None, dim: int = 256) -> DataFrame:
+    """TRE-1/2, VEC-1: the tree's nodes with the embedding of their text."""
+    return embed(flatten_tree(trees), "embed_text", PASSAGE_PREFIX, encoder, dim)
 
 
 # ---- VEC-3 / VEC-4 / VEC-5: routing ---------------------------------------------
 
 def route_candidates(queries: DataFrame, nodes: DataFrame, p: RouterParams = RouterParams(),
-                     node_id: str = "node_vec_id") -> DataFrame:
+                     node_id: str = "node_vec_id", excluded: DataFrame | None = None) -> DataFrame:
     """VEC-3: top ``p.candidates`` nodes per query (score desc, tree order asc).
 
     queries: (query_id, embedding); nodes: (knowledge_base, name, path, ord,
-    ``node_id``, embedding).  A node built from the query's own vector is
-    excluded (the driver's fixture derives both from one table).
+    ``node_id``, embedding).  Every node counts; only a caller that made both from one table passes the pairs
+    (left_id = query_id, right_id = node id) that must not meet.
     """
-    nd = nodes
     left = queries.select(F.col("query_id").alias("id"), F.lit("").alias("group"), F.col("embedding").alias("vec"))
-    right = nd.select(F.col(node_id).alias("id"), F.lit("").alias("group"), F.col("embedding").alias("vec"))
-    hits = top_k_dot(left, right, p.candidates, p.block_rows, exclude_self=True)
+    right = nodes.select(F.col(node_id).alias("id"), F.lit("").alias("group"), F.col("embedding").alias("vec"))
+    hits = top_k_dot(left, right, p.candidates, p.block_rows, excluded)
     return hits.join(nodes.withColumnRenamed(node_id, "right_id"), "right_id").select(
         F.col("left_id").alias("query_id"), "rank", "knowledge_base", "name", "description", "path", "score")
 
@@ -139,7 +167,7 @@ def route_decision(cands: DataFrame, queries: DataFrame, nodes: DataFrame,
     ("empate"); else fast ("score ok").  Escalated queries take the external
     label ``llm_kb`` when it names a node of the whole index (exact match after
     trim, Q24), else the best candidate.  ``score`` is always the best
-    candidate's, rounded to 4.
+    candidate's, rounded to 4.  A query without candidates (an empty index) goes to the general collection.
     """
     c = cands.groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"),
@@ -151,10 +179,11 @@ def route_decision(cands: DataFrame, queries: DataFrame, nodes: DataFrame,
     fast = (F.col("s1") >= p.high) | ~((F.col("s1") < p.low) | (diff < p.gap))
     s1 = F.col("s1")
     tie = (s1 < p.high) & (s1 >= p.low) & (diff < p.gap)
-    label = (F.when(s1 >= p.high, F.lit("score alto ("))
-             .when(s1 < p.low, F.lit("score bajo ("))
-             .when(diff < p.gap, F.lit("empate (diff="))
-             .otherwise(F.lit("score ok (")))
+    opening = lambda reason: F.lit(reason.split("{")[0])
+    label = (F.when(s1 >= p.high, opening(ROUTE_REASON_HIGH))
+             .when(s1 < p.low, opening(ROUTE_REASON_LOW))
+             .when(diff < p.gap, opening(ROUTE_REASON_TIE))
+             .otherwise(opening(ROUTE_REASON_OK)))
     # The value the reason shows (s1, or the gap for a tie) is materialised as a
     # column first, so the formatter's expression tree stays small in codegen.
     c = c.withColumn("_shown", F.when(tie, diff).otherwise(s1)).withColumn("_label", label)
@@ -167,27 +196,22 @@ def route_decision(cands: DataFrame, queries: DataFrame, nodes: DataFrame,
     lab = nodes.select(F.col("knowledge_base").alias("_lkb"), F.col("name").alias("_lname"),
                        F.col("path").alias("_lpath")).dropDuplicates(["_lkb"])
     q = queries.select("query_id", F.trim("llm_kb").alias("llm_kb"))
-    j = c.join(q, "query_id", "left").join(lab, F.col("llm_kb") == F.col("_lkb"), "left")
-    use_label = ~fast & F.col("_lkb").isNotNull()
+    j = q.join(c, "query_id", "left").join(lab, F.col("llm_kb") == F.col("_lkb"), "left")
+    known = F.col("s1").isNotNull()
+    use_label = known & ~fast & F.col("_lkb").isNotNull()
     return j.select(
         "query_id",
-        F.when(use_label, F.col("_lkb")).otherwise(F.col("best.knowledge_base")).alias("kb"),
-        F.when(use_label, F.col("_lname")).otherwise(F.col("best.name")).alias("node"),
+        F.when(use_label, F.col("_lkb")).when(known, F.col("best.knowledge_base")).otherwise(F.lit(p.general_kb)).alias("kb"),
+        F.when(use_label, F.col("_lname")).when(known, F.col("best.name")).otherwise(F.lit("fallback")).alias("node"),
         F.when(use_label, F.col("_lpath")).otherwise(F.col("best.path")).alias("path"),
-        method.alias("method"),
-        fast.alias("fast_path"),
+        F.when(known, method).otherwise(F.lit(ROUTE_METHOD_NO_INDEX)).alias("method"),
+        F.when(known, fast).alias("fast_path"),
         round_half_away(F.col("s1"), 4).alias("score"),
-        F.transform("cands", lambda x: F.struct(x["rank"].alias("rank"), x["knowledge_base"].alias("kb"),
+        F.transform(F.coalesce("cands", F.array().cast("array<struct<rank:int,knowledge_base:string,score:double>>")), lambda x: F.struct(x["rank"].alias("rank"), x["knowledge_base"].alias("kb"),
                                                 round_half_away(x["score"], 4).alias("score"))).alias("candidates"),
     )
 
 
-def no_index_route(queries: DataFrame, p: RouterParams = RouterParams()) -> DataFrame:
-    """VEC-5 with an empty index: every query goes to the general collection."""
-    return queries.select("query_id", F.lit(p.general_kb).alias("kb"), F.lit("fallback").alias("node"),
-                          F.lit("sin_indice").alias("method"))
-
-
 def escalation_prompts(cands: DataFrame, decisions: DataFrame, queries: DataFrame) -> DataFrame:
     """VEC-6: router prompt for escalated queries (candidates with score .4f)."""
     line = F.concat(F.lit("- "), F.col("knowledge_base"), F.lit(" | "), F.col("name"), F.lit(" | score: "),
@@ -205,31 +229,41 @@ def escalation_prompts(cands: DataFrame, decisions: DataFrame, queries: DataFram
 # ---- VEC-7 / VEC-8: chunk search -------------------------------------------------
 
 def search_chunks(routed: DataFrame, queries: DataFrame, chunks: DataFrame, p: RouterParams = RouterParams(),
-                  exclude_self: bool = True) -> DataFrame:
+                  excluded: DataFrame | None = None) -> DataFrame:
     """VEC-7/8: top ``p.chunk_top_k`` chunks of the routed collection per query;
-    queries with no hit there (and a routed kb other than the general one) are
-    searched in the general collection.  Payload defaults: text "", filename "",
-    chunk 0 (SRC-5).  Scores rounded to 4 (router path).
+    a query whose collection has no chunk for it is searched in the general collection.  Payload defaults: text "",
+    filename "", chunk 0 (SRC-5).  Scores rounded to 4 (router path).
+
+    One search serves both: a collection without chunks is known from a count, before any product.  ``excluded``:
+    pairs (left_id = query_id, right_id = chunk_id) that must not meet.
     """
     q = routed.select("query_id", "kb").join(queries.select("query_id", "embedding"), "query_id")
     ch = chunks.select(F.col("chunk_id").alias("id"), F.col("kb").alias("group"), F.col("embedding").alias("vec"))
-    left = q.select(F.col("query_id").alias("id"), F.col("kb").alias("group"), F.col("embedding").alias("vec"))
-    hits = top_k_dot(left, ch, p.chunk_top_k, p.block_rows, exclude_self)
-    missing = q.join(hits.select(F.col("left_id").alias("query_id")).distinct(), "query_id", "left_anti") \
-        .where(F.col("kb") != p.general_kb)
-    fb_left = missing.select(F.col("query_id").alias("id"), F.lit(p.general_kb).alias("group"),
-                             F.col("embedding").alias("vec"))
-    fb = top_k_dot(fb_left, ch.where(F.col("group") == p.general_kb), p.chunk_top_k, p.block_rows, exclude_self)
-    allhits = hits.unionByName(fb)
+    held = chunks.groupBy("kb").agg(F.count(F.lit(1)).alias("_n"))
+    q = q.join(held, "kb", "left")
+    gone = F.lit(0)
+    if excluded is not None:
+        out = excluded.distinct().join(chunks.select(F.col("chunk_id").alias("right_id"), "kb"), "right_id")
+        out = out.groupBy(F.col("left_id").alias("query_id"), "kb").agg(F.count(F.lit(1)).alias("_x"))
+        q = q.join(out, ["query_id", "kb"], "left")
+        gone = F.coalesce("_x", F.lit(0))
+    target = F.when(F.coalesce("_n", F.lit(0)) > gone, F.col("kb")).otherwise(F.lit(p.general_kb))
+    left = q.select(F.col("query_id").alias("id"), target.alias("group"), F.col("embedding").alias("vec"))
+    hits = top_k_dot(left, ch, p.chunk_top_k, p.block_rows, excluded)
     payload = chunks.select(F.col("chunk_id").alias("right_id"), "kb",
                             F.coalesce("text", F.lit("")).alias("text"),
                             F.coalesce("filename", F.lit("")).alias("filename"),
                             F.coalesce("chunk", F.lit(0)).alias("chunk"))
-    return allhits.join(payload, "right_id").select(
+    return hits.join(payload, "right_id").select(
         F.col("left_id").alias("query_id"), "rank", "kb", "filename", "chunk", "text",
         round_half_away(F.col("score"), 4).alias("score"))
 
 
+def search_general(queries: DataFrame, chunks: DataFrame, p: RouterParams = RouterParams()) -> DataFrame:
+    """VEC-9 without a router: every query searches the general collection."""
+    return search_chunks(queries.select("query_id", F.lit(p.general_kb).alias("kb")), queries, chunks, p)
+
+
 # ---- AGG-14 / AGG-16 / VEC-9 ------------------------------------------------------
 
 def context_text(hits: DataFrame) -> DataFrame:
@@ -245,16 +279,23 @@ def context_text(hits: DataFrame) -> DataFrame:
     )
 
 
-def answer_prompts(queries: DataFrame, routed: DataFrame, hits: DataFrame) -> DataFrame:
+def answer_prompts(queries: DataFrame, routed: DataFrame | None, hits: DataFrame, counter=None) -> DataFrame:
     """VEC-9: prompt, references, token count and provenance per query.
 
-    No chunks -> fixed help text, source ``ninguna``, no references.
+    No chunks -> fixed help text, source ``ninguna``, no references.  Without a router (``routed`` None) the
+    answer's node is ``general`` and its source names no collection.
     """
     ctx = context_text(hits)
     pre, rest = PROMPT_BASE.split("{context}")
     mid, post = rest.split("{question}")
-    j = queries.select("query_id", "text").join(routed.select("query_id", "kb", "node"), "query_id", "left") \
-        .join(ctx, "query_id", "left")
+    asked = queries.select("query_id", "text")
+    if routed is None:
+        source, node = F.lit("qdrant"), F.lit("general")
+    else:
+        asked = asked.join(routed.select("query_id", "kb", "node"), "query_id", "left")
+        source = F.concat(F.lit("qdrant:"), F.col("kb"))
+        node = F.concat(F.col("node"), F.lit(" ("), F.col("kb"), F.lit(")"))
+    j = asked.join(ctx, "query_id", "left")
     has = F.col("n_chunks").isNotNull()
     prompt = F.concat(F.lit(pre), F.col("context"), F.lit(mid), F.col("text"), F.lit(post),
                       F.lit("\n\n"), F.lit(PROMPT_SIFODS))
@@ -262,9 +303,9 @@ def answer_prompts(queries: DataFrame, routed: DataFrame, hits: DataFrame) -> Da
         "query_id",
         F.when(has, prompt).alias("prompt"),
         F.when(~has, F.lit(HELP_NO_RESULTS)).alias("respuesta_fija"),
-        F.when(has, F.concat(F.lit("qdrant:"), F.col("kb"))).otherwise(F.lit(SOURCE_NONE)).alias("fuente_datos"),
-        F.when(has, F.concat(F.col("node"), F.lit(" ("), F.col("kb"), F.lit(")"))).alias("nodo_navegacion"),
+        F.when(has, source).otherwise(F.lit(SOURCE_NONE)).alias("fuente_datos"),
+        F.when(has, node).alias("nodo_navegacion"),
         F.coalesce(F.col("referencias"), F.array().cast("array<struct<fuente:string,relevancia:double>>"))
         .alias("referencias"),
-        F.when(has, token_count(prompt)).alias("tokens_entrada"),
+        F.when(has, token_count(prompt, counter)).alias("tokens_entrada"),
     )

@@ -1,34 +1,24 @@
 """Exact top-k dot-product search as a blocked product (VEC-2, VEC-3, VEC-7).
 
-Left rows (queries) and right rows (nodes or chunks) carry a ``group`` (the
-collection); inside a group, left rows are hashed into ``BL`` blocks and
-right rows into ``BR`` blocks.  Every left row is replicated to the ``BR``
-block pairs of its block and every right row to the ``BL`` pairs of its block;
-each ``(group, left block, right block)`` is one ``applyInPandas`` task that
-multiplies the two dense blocks with numpy and keeps the top-k per left row.
-A final window keeps the top-k per left row over all right blocks.  No task
-sees more than two blocks, and no (query, chunk) pair is shuffled.
+Left rows (queries) and right rows (nodes or chunks) carry a ``group`` (the collection).  Inside a group both sides
+are hashed into blocks of about ``block_rows`` rows; the numbers of blocks come from a count per group that is part
+of the plan (no action runs while it is built, and one path serves every size).  Each (group, left block, right
+block) is one ``applyInPandas`` task that multiplies the two dense blocks with numpy and keeps the top-k per left
+row.  A final window keeps the top-k per left row over all right blocks.  No task sees more than two blocks, and no
+(query, chunk) pair is shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HIT_SCHEMA = "left_id long, right_id long, score double"
 
 
-def dot(a: Column, b: Column) -> Column:
-    """VEC-2 as a column expression: sum of element products, in double."""
-    prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _block_top_k(k: int, exclude_self: bool):
+def _block_top_k(k: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf["side"] == 0]
         right = pdf[pdf["side"] == 1]
@@ -41,8 +31,9 @@ def _block_top_k(k: int, exclude_self: bool):
         lid = left["id"].to_numpy(dtype=np.int64)
         rid = right["id"].to_numpy(dtype=np.int64)
         s = lv @ rv.T
-        if exclude_self:
-            s = np.where(lid[:, None] == rid[None, :], -np.inf, s)
+        for row, skip in enumerate(left["skip"]):
+            if skip is not None and len(skip):
+                s[row, np.isin(rid, np.asarray(skip, np.int64))] = -np.inf
         kk = min(k, s.shape[1])
         thr = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
         r, c = np.nonzero((s >= thr[:, None]) & np.isfinite(s))
@@ -57,24 +48,26 @@ def _block_top_k(k: int, exclude_self: bool):
     return run
 
 
-def top_k_dot(left: DataFrame, right: DataFrame, k: int, block_rows: int = 4096,
-              exclude_self: bool = False) -> DataFrame:
+def top_k_dot(left: DataFrame, right: DataFrame, k: int, block_rows: int = 4096, excluded: DataFrame | None = None) -> DataFrame:
     """Top-``k`` right rows per left row by dot product within the same group.
 
-    left, right: ``(id long, group string, vec array<float>)``.
+    left, right: ``(id long, group string, vec array<float>)``; ``excluded``: optional pairs
+    ``(left_id, right_id)`` that must not meet (a few per left row).
     Returns ``(left_id, right_id, score, rank)``; ties: right id ascending.
-    ``exclude_self`` drops pairs with equal ids (a vector matching itself).
     """
-    n_left, n_right = left.count(), right.count()
-    bl = max(1, math.ceil(n_left / block_rows))
-    br = max(1, math.ceil(n_right / block_rows))
-    lb = F.pmod(F.xxhash64("id"), F.lit(bl)).cast("int")
-    rb = F.pmod(F.xxhash64("id"), F.lit(br)).cast("int")
-    l_rows = left.select("id", "group", "vec", F.lit(0).alias("side"), lb.alias("lb"),
-                         F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("rb"))
-    r_rows = right.select("id", "group", "vec", F.lit(1).alias("side"),
-                          F.explode(F.sequence(F.lit(0), F.lit(bl - 1))).alias("lb"), rb.alias("rb"))
-    hits = l_rows.unionByName(r_rows).groupBy("group", "lb", "rb").applyInPandas(
-        _block_top_k(k, exclude_self), HIT_SCHEMA)
+    left = left.select("id", "group", "vec")
+    if excluded is None:
+        left = left.withColumn("skip", F.lit(None).cast("array<long>"))
+    else:
+        skip = excluded.groupBy(F.col("left_id").alias("id")).agg(F.collect_set(F.col("right_id").cast("long")).alias("skip"))
+        left = left.join(skip, "id", "left")
+    blocks = lambda df, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+    size = blocks(left, "bl").join(blocks(right, "br"), "group")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l_rows = left.join(size, "group").select("id", "group", "vec", "skip", F.lit(0).alias("side"), own("bl").alias("lb"), each("br").alias("rb"))
+    r_rows = right.join(size, "group").select("id", "group", "vec", F.lit(None).cast("array<long>").alias("skip"),
+                                              F.lit(1).alias("side"), each("bl").alias("lb"), own("br").alias("rb"))
+    hits = l_rows.unionByName(r_rows).groupBy("group", "lb", "rb").applyInPandas(_block_top_k(k), HIT_SCHEMA)
     w = Window.partitionBy("left_id").orderBy(F.col("score").desc(), F.col("right_id").asc())
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -16,30 +16,37 @@ from aularank.params import RecommenderParams
 
 D = "::DOUBLE"
 
+
+def _first(col: str) -> str:
+    """The first non-null value in source order."""
+    return f"arg_min({col}, ord) FILTER (WHERE {col} IS NOT NULL) AS {col}"
+
+
 # FIXTURES B1 + cleaning rules (values of the fixture are already in range).
 ENROL = f"""
 enrol AS (
   SELECT
+    CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord,
     CAST(year(o_orderdate) - p_partkey % 4 AS INTEGER) AS "AÑO",
     o_orderpriority AS TIPO_CONSTANCIA,
-    p_name || ' ' || CAST(p_partkey AS VARCHAR) AS CURSO,
-    n_name AS NOMBRE_DRE,
+    p_name || ' ' || CAST(p_partkey AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN ' (rev)' ELSE '' END AS CURSO,
+    CASE WHEN l_orderkey % 11 <> 0 THEN n_name END AS NOMBRE_DRE,
     r_name AS NOMBRE_UGEL,
     CAST(o_custkey AS VARCHAR) AS USUARIO_DOCUMENTO,
     c_name AS NOMBRE_COMPLETO,
-    c_mktsegment AS NIVELNEXUS,
+    CASE WHEN l_orderkey % 9 <> 0 THEN c_mktsegment END AS NIVELNEXUS,
     CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS APROBACION,
     CAST(l_partkey AS VARCHAR) AS ID_OFERTA_FORMATIVA,
     CAST(l_suppkey AS VARCHAR) AS ID_GRUPO,
     CAST(NULL AS VARCHAR) AS FECHA_NACIMIENTO,
     CAST(p_size % 2 AS INTEGER) AS ES_FOCALIZADO,
-    CAST(p_size AS DOUBLE) AS HORAS_PROGRAMA,
+    CAST(p_size + l_linenumber % 2 AS DOUBLE) AS HORAS_PROGRAMA,
     least(greatest(l_quantity / 10, 0{D}), 5{D}) AS CALIFICACIONES,
-    p_brand || ' ' || p_type AS PROPOSITO,
+    CASE WHEN l_linenumber % 4 <> 1 THEN p_brand || ' ' || p_type END AS PROPOSITO,
     CASE WHEN p_size % 5 <> 0 THEN 1 ELSE 0 END AS ACTIVO,
-    CASE p_type WHEN 'PROMO' THEN 'TODOS' WHEN 'ECONOMY' THEN 'BUILDING, HOUSEHOLD'
+    CASE WHEN l_linenumber % 5 <> 2 THEN CASE p_type WHEN 'PROMO' THEN 'TODOS' WHEN 'ECONOMY' THEN 'BUILDING, HOUSEHOLD'
       WHEN 'MEDIUM' THEN 'MACHINERY' WHEN 'STANDARD' THEN 'AUTOMOBILE' WHEN 'SMALL' THEN 'FURNITURE'
-      ELSE '' END AS PUBLICO_OBJETIVO,
+      ELSE '' END END AS PUBLICO_OBJETIVO,
     CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS CURSO_CULMINADO,
     CAST(25 + o_custkey % 40 AS DOUBLE) AS EDAD,
     least(greatest(l_discount * 10, 0{D}), 1{D}) AS PORCENTAJE_AVANCE
@@ -60,11 +67,24 @@ enrol_r AS (
   FROM enrol
 )"""
 
+# The fixture's text export: aliases, blanks, non-numbers, absent optional columns.
+TEXT_ENROL = """
+text_enrol AS (
+  SELECT *, CASE WHEN CURSO_CULMINADO = 1 THEN 2.5::DOUBLE WHEN APROBACION = 1 THEN 1.5::DOUBLE ELSE 0::DOUBLE END AS raw FROM (
+    SELECT ord, USUARIO_DOCUMENTO, ID_OFERTA_FORMATIVA, CURSO, NIVELNEXUS, "AÑO", APROBACION,
+      CASE WHEN part % 3 = 0 THEN 0 ELSE ACTIVO END AS ACTIVO,
+      CASE WHEN part % 10 = 0 THEN 0::DOUBLE ELSE HORAS_PROGRAMA + 0.5::DOUBLE END AS HORAS_PROGRAMA,
+      CASE WHEN part % 7 <> 0 THEN trunc(CALIFICACIONES) END AS CALIFICACIONES,
+      1 - APROBACION AS CURSO_CULMINADO,
+      0::DOUBLE AS PORCENTAJE_AVANCE, NULL::DOUBLE AS EDAD, '' AS NOMBRE_DRE
+    FROM (SELECT e.*, CAST(ID_OFERTA_FORMATIVA AS BIGINT) AS part FROM enrol e))
+)"""
+
 CATALOG = f"""
 cat0 AS (
   SELECT ID_OFERTA_FORMATIVA,
-    min(CURSO) AS CURSO, min(HORAS_PROGRAMA) AS HORAS_PROGRAMA, min(PROPOSITO) AS PROPOSITO,
-    min(PUBLICO_OBJETIVO) AS PUBLICO_OBJETIVO, max("AÑO") AS "AÑO_MAX", max(ACTIVO) AS ACTIVO,
+    {_first("CURSO")}, {_first("HORAS_PROGRAMA")}, {_first("PROPOSITO")},
+    {_first("PUBLICO_OBJETIVO")}, max("AÑO") AS "AÑO_MAX", max(ACTIVO) AS ACTIVO,
     count(USUARIO_DOCUMENTO) AS TOTAL_INSCRITOS,
     CAST(sum(CURSO_CULMINADO) AS BIGINT) AS TOTAL_CULMINADOS,
     CAST(sum(APROBACION) AS BIGINT) AS TOTAL_APROBADOS,
@@ -89,8 +109,8 @@ catalog AS (
 PROFILE = f"""
 profile AS (
   SELECT USUARIO_DOCUMENTO,
-    min(NOMBRE_COMPLETO) AS NOMBRE_COMPLETO, min(NIVELNEXUS) AS NIVELNEXUS, min(NOMBRE_DRE) AS NOMBRE_DRE,
-    min(NOMBRE_UGEL) AS NOMBRE_UGEL, min(EDAD) AS EDAD_APROX,
+    {_first("NOMBRE_COMPLETO")}, {_first("NIVELNEXUS")}, {_first("NOMBRE_DRE")},
+    {_first("NOMBRE_UGEL")}, min(EDAD) AS EDAD_APROX,
     count(ID_OFERTA_FORMATIVA) AS TOTAL_CURSOS,
     CAST(sum(CURSO_CULMINADO) AS BIGINT) AS CURSOS_CULMINADOS,
     CAST(sum(APROBACION) AS BIGINT) AS CURSOS_APROBADOS,
@@ -131,7 +151,8 @@ neighbours AS (
 )"""
 
 
-def collaborative_cte(expand: int) -> str:
+def collaborative_cte(expand: int | str, req: str = "") -> str:
+    """``req``: a join that brings the user's own ``k`` (then ``expand`` is an expression of it)."""
     return f"""
 cs AS (
   SELECT n.USUARIO_DOCUMENTO, r.ID_OFERTA_FORMATIVA, sum(n.sim * r.rating) AS S
@@ -151,7 +172,7 @@ collab AS (
 collab_top AS (
   SELECT *, row_number() OVER (PARTITION BY USUARIO_DOCUMENTO
             ORDER BY round(score, 9) DESC, ID_OFERTA_FORMATIVA ASC) AS rank
-  FROM collab QUALIFY rank <= {expand}
+  FROM collab {req} QUALIFY rank <= {expand}
 )"""
 
 
@@ -168,10 +189,10 @@ ua AS (
 maxpop AS (SELECT USUARIO_DOCUMENTO, max(SCORE_POPULARIDAD) AS max_pop FROM ua GROUP BY 1)"""
 
 
-def history_cte(expand: int, p: RecommenderParams) -> str:
+def history_cte(expand: int | str, p: RecommenderParams, req: str = "") -> str:
     return f"""
 firstrow AS (
-  SELECT USUARIO_DOCUMENTO, min(NIVELNEXUS) AS level, min(NOMBRE_DRE) AS region
+  SELECT USUARIO_DOCUMENTO, first(NIVELNEXUS ORDER BY ord) AS level, first(NOMBRE_DRE ORDER BY ord) AS region
   FROM enrol_r WHERE USUARIO_DOCUMENTO IS NOT NULL GROUP BY 1
 ),
 done AS (SELECT * FROM enrol_r WHERE CURSO_CULMINADO = 1 AND ID_OFERTA_FORMATIVA IS NOT NULL),
@@ -213,7 +234,7 @@ hist2 AS (
 hist_top AS (
   SELECT *, row_number() OVER (PARTITION BY USUARIO_DOCUMENTO
             ORDER BY score DESC, ID_OFERTA_FORMATIVA ASC) AS rank
-  FROM hist2 QUALIFY rank <= {expand}
+  FROM hist2 {req} QUALIFY rank <= {expand}
 )"""
 
 
@@ -225,13 +246,27 @@ def recommend_sql(p: RecommenderParams = RecommenderParams()) -> str:
     return with_(*recommend_ctes(p)) + " SELECT * FROM final"
 
 
-def recommend_ctes(p: RecommenderParams = RecommenderParams()) -> tuple:
-    k, e = p.top_k, p.expand
+def requests_sql(p: RecommenderParams = RecommenderParams()) -> str:
+    """Every customer's own number of courses; only users with enrolments can be served."""
+    req = f"""
+req AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS USUARIO_DOCUMENTO,
+    CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 7 - 2 > 0 THEN c_custkey % 7 - 2 ELSE {p.top_k} END AS k
+  FROM customer
+)"""
+    return with_(*recommend_ctes(p, req)) + " SELECT * FROM final"
+
+
+def recommend_ctes(p: RecommenderParams = RecommenderParams(), requests: str = "") -> tuple:
+    """``requests``: a CTE ``req`` (user, k) of users' own numbers of courses; else every user gets ``top_k``."""
+    k, e, req = p.top_k, p.expand, ""
+    if requests:
+        k, e, req = "k", f"{p.expand_factor} * k", "JOIN req USING (USUARIO_DOCUMENTO)"
     blend = (f"(((raw_c * {p.w_collaborative}{D}) + (raw_p * {p.w_popularity}{D})) "
              f"+ (raw_h * {p.w_history}{D})) + (raw_n * {p.w_novelty}{D})")
     return (
-        ENROL, CATALOG, RATINGS, neighbours_cte(p.similar_users), collaborative_cte(e), CANDIDATES,
-        history_cte(e, p),
+        ENROL, CATALOG, RATINGS, *([requests] if requests else []), neighbours_cte(p.similar_users), collaborative_cte(e, req), CANDIDATES,
+        history_cte(e, p, req),
         f"""
 cand AS (
   SELECT USUARIO_DOCUMENTO, ID_OFERTA_FORMATIVA FROM ua
@@ -254,7 +289,7 @@ scored AS (SELECT *, {blend} AS score FROM parts),
 top AS (
   SELECT *, row_number() OVER (PARTITION BY USUARIO_DOCUMENTO
             ORDER BY round(score, 4) DESC, ID_OFERTA_FORMATIVA ASC) AS posicion
-  FROM scored WHERE score >= {p.min_score}{D} QUALIFY posicion <= {k}
+  FROM scored {req} WHERE score >= {p.min_score}{D} QUALIFY posicion <= {k}
 ),
 hybrid AS (
   SELECT USUARIO_DOCUMENTO, CAST(posicion AS INTEGER) AS posicion, ID_OFERTA_FORMATIVA,
@@ -274,7 +309,7 @@ fb AS (
   SELECT ua.USUARIO_DOCUMENTO, ua.ID_OFERTA_FORMATIVA, ua.SCORE_POPULARIDAD,
     row_number() OVER (PARTITION BY ua.USUARIO_DOCUMENTO
                        ORDER BY ua.SCORE_POPULARIDAD DESC, ua.ID_OFERTA_FORMATIVA ASC) AS posicion
-  FROM ua WHERE ua.USUARIO_DOCUMENTO NOT IN (SELECT USUARIO_DOCUMENTO FROM hybrid)
+  FROM ua {req} WHERE ua.USUARIO_DOCUMENTO NOT IN (SELECT USUARIO_DOCUMENTO FROM hybrid)
   QUALIFY posicion <= {k}
 ),
 recs AS (
@@ -299,7 +334,7 @@ final AS (
 
 LOG = """
 log AS (
-  SELECT CAST(event_id AS INTEGER) AS id, CAST(user_id AS VARCHAR) AS usuario,
+  SELECT CAST(event_id AS BIGINT) AS id, CAST(user_id AS VARCHAR) AS usuario,
     'user ' || CAST(user_id AS VARCHAR) AS nombre_usuario,
     'mensaje ' || CAST(event_id AS VARCHAR) AS mensaje,
     'respuesta ' || CAST(event_id AS VARCHAR) AS respuesta,
@@ -315,7 +350,7 @@ log AS (
 
 DETAILS = """
 det AS (
-  SELECT CAST(event_id * 10 + p AS INTEGER) AS id, CAST(event_id AS INTEGER) AS conversacion_id,
+  SELECT CAST(event_id * 10 + p AS BIGINT) AS id, CAST(event_id AS BIGINT) AS conversacion_id,
     CAST(user_id AS VARCHAR) AS usuario, CAST(p AS SMALLINT) AS posicion,
     CAST((event_id * p) % 200 AS VARCHAR) AS id_oferta_formativa,
     'curso ' || CAST((event_id * p) % 200 AS VARCHAR) AS curso,
@@ -329,6 +364,27 @@ det AS (
   WHERE event_type IN ('purchase', 'signup')
 )"""
 
+DIRTY = """
+dirty_log AS (
+  SELECT * REPLACE (
+    CASE WHEN id % 97 = 0 THEN NULL WHEN id % 61 = 0 THEN repeat('u', 101) ELSE usuario END AS usuario,
+    CASE WHEN id % 101 <> 0 THEN mensaje END AS mensaje, CASE WHEN id % 103 <> 0 THEN respuesta END AS respuesta,
+    CASE WHEN id % 107 = 0 THEN NULL WHEN id % 89 = 0 THEN 'otra' WHEN id % 59 = 0 THEN repeat('t', 21) ELSE tarea END AS tarea,
+    CASE WHEN id % 83 = 0 THEN repeat('n', 201) ELSE nombre_usuario END AS nombre_usuario,
+    CASE WHEN id % 53 = 0 THEN repeat('f', 51) ELSE fuente_datos END AS fuente_datos,
+    CASE WHEN id % 79 = 0 THEN id - 1 ELSE id END AS id) FROM log
+),
+dirty_det AS (
+  SELECT * REPLACE (
+    CASE WHEN conversacion_id % 47 = 0 THEN conversacion_id * 10 ELSE id END AS id,
+    CASE WHEN conversacion_id % 71 = 0 THEN -conversacion_id - 1 WHEN conversacion_id % 73 <> 0 THEN conversacion_id END AS conversacion_id,
+    CASE WHEN conversacion_id % 43 = 0 THEN NULL WHEN conversacion_id % 41 = 0 THEN repeat('u', 101) ELSE usuario END AS usuario,
+    CASE WHEN conversacion_id % 67 <> 0 THEN posicion END AS posicion,
+    CASE WHEN conversacion_id % 37 = 0 THEN repeat('i', 51) ELSE id_oferta_formativa END AS id_oferta_formativa,
+    CASE WHEN conversacion_id % 31 = 0 THEN repeat('c', 256) ELSE curso END AS curso,
+    CASE WHEN conversacion_id % 29 = 0 THEN repeat('p', 201) ELSE publico_objetivo END AS publico_objetivo) FROM det
+)"""
+
 CONSTRAINTS = """
 SELECT 'conversaciones_agente' AS tabla, r.regla, r.n FROM (
   SELECT unnest([
@@ -381,8 +437,7 @@ nodes AS (SELECT label, min(vec_id) AS node_vec_id FROM embeddings GROUP BY labe
 nodevec AS (SELECT n.label, n.node_vec_id, f.i, f.x FROM nodes n JOIN flat f ON f.vec_id = n.node_vec_id),
 qn AS (
   SELECT q.vec_id AS query_id, nv.label, nv.node_vec_id, sum(q.x::DOUBLE * nv.x::DOUBLE) AS score
-  FROM flat q JOIN nodevec nv ON q.i = nv.i
-  WHERE q.vec_id <> nv.node_vec_id GROUP BY 1, 2, 3
+  FROM flat q JOIN nodevec nv ON q.i = nv.i GROUP BY 1, 2, 3
 ),
 cands AS (
   SELECT query_id, label, node_vec_id, score, 'kb_' || label AS knowledge_base, 'Nodo ' || label AS name,
@@ -427,13 +482,16 @@ FROM decision d JOIN lines l USING (query_id) LEFT JOIN documents doc ON doc.doc
 WHERE NOT d.fast_path"""
 
 
-def search_cte(r) -> str:
+def search_cte(r, general: bool = False) -> str:
+    """``general``: every third label's chunks are in the general collection."""
+    kb = "CASE WHEN f.label % 3 = 0 THEN 'general' ELSE 'kb_' || f.label END" if general else "'kb_' || f.label"
     return f"""
-chunkvec AS (SELECT f.vec_id AS chunk_id, 'kb_' || f.label AS kb, f.i, f.x FROM flat f),
+chunkvec AS (SELECT f.vec_id AS chunk_id, {kb} AS kb, f.i, f.x FROM flat f),
+target AS (SELECT query_id, CASE WHEN kb IN (SELECT kb FROM chunkvec) THEN kb ELSE 'general' END AS kb FROM decision),
 qc AS (
   SELECT q.vec_id AS query_id, c.chunk_id, d.kb, sum(q.x::DOUBLE * c.x::DOUBLE) AS score
-  FROM flat q JOIN decision d ON d.query_id = q.vec_id
-  JOIN chunkvec c ON c.kb = d.kb AND c.i = q.i AND c.chunk_id <> q.vec_id
+  FROM flat q JOIN target d ON d.query_id = q.vec_id
+  JOIN chunkvec c ON c.kb = d.kb AND c.i = q.i
   GROUP BY 1, 2, 3
 ),
 top AS (
@@ -442,7 +500,7 @@ top AS (
 ),
 hits AS (
   SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.kb, coalesce(doc.source, '') AS filename,
-    CAST(t.chunk_id AS INTEGER) AS chunk, coalesce(doc.text, '') AS text, round(t.score, 4) AS score
+    CAST(t.chunk_id AS BIGINT) AS chunk, coalesce(doc.text, '') AS text, round(t.score, 4) AS score
   FROM top t LEFT JOIN documents doc ON doc.doc_id = t.chunk_id
 )"""
 

@@ -1,35 +1,40 @@
-"""SNK-5: versioned model tables with a pointer flipped last.
+"""SNK-5: versioned model tables and immutable pointers.
 
-A refresh writes every derived table under ``<base>/v=<version>/<name>`` and
-only then overwrites the one-row ``<base>/_current`` pointer.  Readers always
-resolve the pointer first, so a failed build leaves the previous version in
-service.  Paths must be on shared storage (the cluster's file system).
+A refresh writes every derived table under ``<base>/v=<version>/<name>`` and only then appends one pointer row to
+``<base>/versions``.  Nothing is overwritten or deleted there, so a reader always sees the newest complete version;
+a failed build leaves the previous one in service.  Paths must be on shared storage (the cluster's file system).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import time
 
-from aularank.plans.recommend import Model
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-TABLES = ("catalog", "profile", "ratings", "first_row", "done", "neighbours")
+from aularank.plans.recommend import TABLES, Model
 
 
 def publish_model(model: Model, base: str, version: int | str) -> str:
-    spark = model.catalog.sparkSession
     root = f"{base}/v={version}"
     for name in TABLES:
-        getattr(model, name).write.mode("overwrite").parquet(f"{root}/{name}")
-    spark.createDataFrame([(str(version), root)], "version string, path string") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{base}/_current")
+        model.table(name).write.mode("overwrite").parquet(f"{root}/{name}")
+    spark = model.catalog.sparkSession
+    spark.createDataFrame([(str(version), root, time.time_ns())], "version string, path string, published long") \
+        .coalesce(1).write.mode("append").parquet(f"{base}/versions")
     return root
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
+    """The newest published version's folder; None only where nothing was published."""
     try:
-        row = spark.read.parquet(f"{base}/_current").first()
-    except Exception:  # noqa: BLE001 - nothing published yet
-        return None
+        pointers = spark.read.schema("version string, path string, published long").parquet(f"{base}/versions")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    row = pointers.orderBy(F.col("published").desc()).first()
     return None if row is None else row["path"]
 
 
@@ -37,4 +42,4 @@ def load_model(spark: SparkSession, base: str) -> Model:
     root = current_version(spark, base)
     if root is None:
         raise FileNotFoundError(f"no model published under {base}")
-    return Model(**{name: spark.read.parquet(f"{root}/{name}") for name in TABLES})
+    return Model({name: lambda name=name: spark.read.parquet(f"{root}/{name}") for name in TABLES})

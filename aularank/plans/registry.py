@@ -23,12 +23,15 @@ from aularank.params import RecommenderParams, RouterParams
 from aularank.plans import oracle_sql as O
 from aularank.plans import recommend as rp
 from aularank.sources import testdata
+from aularank.sources.enrolments import clean_enrolments
 
 PARAMS = RecommenderParams()
 FALLBACK_PARAMS = RecommenderParams(min_score=1.01)
 # The fixture vectors are near-random, so the test thresholds of FIXTURES B2
 # (high .28, low .12, gap .03) are used to reach every routing branch.
-ROUTER = RouterParams(high=0.28, low=0.12, gap=0.03)
+ROUTER = RouterParams(high=0.28, low=0.12, gap=0.03, block_rows=256)
+# Length of the activity report.
+TOP_USERS = 100
 
 
 def _enrol(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,45 +72,32 @@ def q_matrix_stats(spark, sf):
 
 
 def q_user_activity_topn(spark, sf):
-    return fe.most_active_users(fe.rating_table(_enrol(spark, sf)), 15000)
+    """AGG-7 / TOP-6: the report of the most active users (its length is the report's own parameter)."""
+    return fe.most_active_users(fe.rating_table(_enrol(spark, sf)), TOP_USERS)
 
 
 def q_user_neighbours(spark, sf):
-    nb = user_neighbours(fe.rating_table(_enrol(spark, sf)), PARAMS.similar_users)
+    nb = user_neighbours(fe.rating_table(_enrol(spark, sf)), PARAMS.similar_users, hot_raters=PARAMS.hot_raters)
     return nb.select(USER, "neighbour", round_half_away(F.col("sim"), 9).alias("sim"), "rank")
 
 
-_MODELS: dict = {}
+def q_user_neighbours_hot(spark, sf):
+    """The same result with every course of over 45 raters taken as hot: the class route serves real pairs."""
+    nb = user_neighbours(fe.rating_table(_enrol(spark, sf)), PARAMS.similar_users, hot_raters=45)
+    return nb.select(USER, "neighbour", round_half_away(F.col("sim"), 9).alias("sim"), "rank")
 
 
 def _model(spark, sf, params=PARAMS):
-    """The checkpointed model tables for (session, data dir, params), built once.
-
-    Recommendation queries read the published model (SNK-5) instead of
-    rebuilding it from the enrolments every time.
-    """
-    key = (id(spark), sf, params)
-    if key not in _MODELS:
-        _MODELS[key] = rp.build_model(_enrol(spark, sf), params)
-    return _MODELS[key]
-
-
-_RECS: dict = {}
-
-
-def _recs(spark, sf, params=PARAMS):
-    """Published recommendations for the model (checkpointed once, read by the text queries)."""
-    key = (id(spark), sf, params)
-    if key not in _RECS:
-        _RECS[key] = rp.recommend(_model(spark, sf, params), None, params).checkpoint(eager=True)
-    return _RECS[key]
+    """A model over the data as it is now; its tables are made as a query reads them."""
+    return rp.build_model(_enrol(spark, sf), params)
 
 
 def q_model_build(spark, sf):
-    """Build (and checkpoint) the model; returns its catalog."""
-    _MODELS.pop((id(spark), sf, PARAMS), None)
-    _RECS.pop((id(spark), sf, PARAMS), None)
-    return _model(spark, sf).catalog
+    """Builds every model table; returns the catalog."""
+    model = _model(spark, sf)
+    for name in rp.TABLES:
+        model.table(name)
+    return model.catalog
 
 
 def q_score_collaborative(spark, sf):
@@ -116,21 +106,37 @@ def q_score_collaborative(spark, sf):
     return c.select(USER, COURSE, round_half_away(F.col("score"), 6).alias("score"), "rank")
 
 
+def _first_popular(m, k):
+    return sc.first_popular(rp.all_users(m), sc.popularity_ranking(m.catalog), m.taken, k)
+
+
 def q_popularity_normaliser(spark, sf):
-    m = _model(spark, sf)
-    users = rp.all_users(m)
-    first = sc.first_popular(users, sc.popularity_ranking(m.catalog), m.taken, 1)
-    return sc.popularity_normaliser(first)
+    return sc.popularity_normaliser(_first_popular(_model(spark, sf), 1))
+
+
+def q_score_popularity(spark, sf):
+    first = _first_popular(_model(spark, sf), PARAMS.expand)
+    s = sc.popularity_scores(first, sc.popularity_normaliser(first))
+    return s.select(USER, COURSE, "slot", round_half_away(F.col("score"), 6).alias("score"))
+
+
+def q_score_novelty(spark, sf):
+    return sc.novelty_scores(fe.course_catalog(_enrol(spark, sf)))
 
 
 def q_score_history(spark, sf):
     m = _model(spark, sf)
-    comp = rp.components(m, rp.all_users(m), PARAMS)
+    comp = rp.components(m, rp.all_users(m), PARAMS, collaborative=False)
     return comp.history.select(USER, COURSE, round_half_away(F.col("score"), 6).alias("score"), "rank")
 
 
 def q_recommend_hybrid(spark, sf):
-    return _recs_flat(_recs(spark, sf))
+    return _recs_flat(rp.recommend(_model(spark, sf)))
+
+
+def q_recommend_requests(spark, sf):
+    """SRC-6 / FLT-13: each request's own number of courses."""
+    return _recs_flat(rp.recommend(_model(spark, sf), testdata.requests(spark, sf), PARAMS))
 
 
 def q_recommend_fallback(spark, sf):
@@ -138,15 +144,38 @@ def q_recommend_fallback(spark, sf):
 
 
 def q_justification_prompts(spark, sf):
-    return pm.justification_prompts(_recs(spark, sf), _model(spark, sf).profile)
+    m = _model(spark, sf)
+    return pm.justification_prompts(rp.recommend(m), m.profile)
 
 
 def q_response_text(spark, sf):
-    r = pm.response_records(_recs(spark, sf), rp.all_users(_model(spark, sf)))
+    m = _model(spark, sf)
+    r = pm.response_records(rp.recommend(m), rp.all_users(m))
     return r.select(USER, "respuesta", "total", F.array_join("algoritmos", ",").alias("algoritmos"),
                     "tokens_salida")
 
 
+def q_user_courses(spark, sf):
+    """FLT-3: every enrolment of the users that appear in the event log."""
+    asked = testdata.table(spark, sf, "events").select(F.col("user_id").cast("string").alias(USER))
+    return fe.user_enrolments(_enrol(spark, sf), asked).select(
+        USER, COURSE, "CURSO", "AÑO", "CURSO_CULMINADO", "APROBACION", "CALIFICACIONES")
+
+
+def q_course_info(spark, sf):
+    """FLT-4 for the courses named in the recommendation log."""
+    asked = testdata.recommendation_details(spark, sf).select(F.col("id_oferta_formativa").alias(COURSE))
+    return fe.courses_info(fe.course_catalog(_enrol(spark, sf)), asked).select(
+        COURSE, "CURSO", "HORAS_PROGRAMA", "PUBLICO_OBJETIVO", "TOTAL_INSCRITOS", "SCORE_POPULARIDAD")
+
+
+def q_text_enrolments(spark, sf):
+    """PRJ-1..11 over a text export: alias headers, absent optional columns, numbers in strings."""
+    e = clean_enrolments(testdata.text_enrolments(spark, sf))
+    return e.select("ord", USER, COURSE, "CURSO", "NIVELNEXUS", "AÑO", "APROBACION", "ACTIVO", "HORAS_PROGRAMA", "CALIFICACIONES",
+                    "CURSO_CULMINADO", "PORCENTAJE_AVANCE", "EDAD", "NOMBRE_DRE", "RATING_COMPUESTO")
+
+
 def q_taken_courses(spark, sf):
     return fe.taken_courses(_enrol(spark, sf))
 
@@ -192,6 +221,19 @@ def q_constraint_report(spark, sf):
     return lg.constraint_report(testdata.interactions(spark, sf), testdata.recommendation_details(spark, sf))
 
 
+def q_constraint_violations(spark, sf):
+    """DQ-1 over logs in which every rule is broken somewhere."""
+    return lg.constraint_report(testdata.dirty_interactions(spark, sf), testdata.dirty_details(spark, sf))
+
+
+def q_cascade_delete(spark, sf):
+    """DQ-2: the detail rows that stay when the error-free half of the interactions goes."""
+    log, det = testdata.interactions(spark, sf), testdata.recommendation_details(spark, sf)
+    gone = log.where(F.col("tokens_entrada") % 2 == 0).select("id")
+    _, kept = lg.cascade_delete(log, det, gone)
+    return kept.select("id", "conversacion_id", "posicion", "score_final", "curso")
+
+
 # ---- retrieval ----------------------------------------------------------------
 
 def _routing(spark, sf):
@@ -215,6 +257,32 @@ def q_escalation_prompts(spark, sf):
     return rt.escalation_prompts(cands, dec, qs)
 
 
+def q_route_labelled(spark, sf):
+    """VEC-4 / JN-11: escalated queries take an outside label where it names a node."""
+    qs, nodes = testdata.labelled_queries(spark, sf), testdata.nodes(spark, sf)
+    dec = rt.route_decision(rt.route_candidates(qs, nodes, ROUTER), qs, nodes, ROUTER)
+    return dec.select("query_id", "kb", "node", "path", "method", "fast_path", "score")
+
+
+def q_search_with_fallback(spark, sf):
+    """VEC-8: a third of the collections are empty; their queries search the general one."""
+    qs, _, _, dec = _routing(spark, sf)
+    return rt.search_chunks(dec, qs, testdata.chunks_with_general(spark, sf), ROUTER)
+
+
+def q_search_general(spark, sf):
+    """VEC-9 without a router: prompts' source and node, and the best hit."""
+    qs = testdata.queries(spark, sf)
+    hits = rt.search_general(qs, testdata.chunks_with_general(spark, sf), ROUTER)
+    return rt.answer_prompts(qs, None, hits).select("query_id", "fuente_datos", "nodo_navegacion", F.size("referencias").alias("n_ref"))
+
+
+def q_node_index(spark, sf):
+    """TRE-1 / TRE-2: the flattened trees and each node's text."""
+    return rt.flatten_tree(testdata.tree_documents(spark, sf)).select(
+        "knowledge_base", "name", "path", F.array_join("keywords", ",").alias("keywords"), "embed_text")
+
+
 def _search(spark, sf):
     qs, _, _, dec = _routing(spark, sf)
     return qs, dec, rt.search_chunks(dec, qs, testdata.chunks(spark, sf), ROUTER)
@@ -266,6 +334,19 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_search": q_chunk_search,
     "context_text": q_context_text,
     "answer_prompts": q_answer_prompts,
+    "score_popularity": q_score_popularity,
+    "score_novelty": q_score_novelty,
+    "user_courses": q_user_courses,
+    "course_info": q_course_info,
+    "text_enrolments": q_text_enrolments,
+    "recommend_requests": q_recommend_requests,
+    "user_neighbours_hot": q_user_neighbours_hot,
+    "constraint_violations": q_constraint_violations,
+    "cascade_delete": q_cascade_delete,
+    "route_labelled": q_route_labelled,
+    "search_with_fallback": q_search_with_fallback,
+    "search_general": q_search_general,
+    "node_index": q_node_index,
 }
 
 _W = O.with_
@@ -273,7 +354,7 @@ _BASE = (O.ENROL, O.CATALOG, O.RATINGS)
 _E = PARAMS.expand
 
 SQL: dict[str, str] = {
-    "clean_enrolments": _W(O.ENROL) + " SELECT * FROM enrol_r",
+    "clean_enrolments": _W(O.ENROL) + " SELECT * EXCLUDE (ord) FROM enrol_r",
     "course_catalog": _W(O.ENROL, O.CATALOG) + """
  SELECT ID_OFERTA_FORMATIVA, CURSO, HORAS_PROGRAMA, PROPOSITO, PUBLICO_OBJETIVO, "AÑO_MAX", ACTIVO,
    TOTAL_INSCRITOS, TOTAL_CULMINADOS, TOTAL_APROBADOS, round(CALIFICACION_PROM, 6) AS CALIFICACION_PROM,
@@ -292,7 +373,7 @@ SQL: dict[str, str] = {
  FROM ratings""",
     "user_activity_topn": _W(O.ENROL, O.RATINGS) + """
  SELECT USUARIO_DOCUMENTO, sum(rating) AS actividad FROM ratings GROUP BY 1
- ORDER BY actividad DESC, USUARIO_DOCUMENTO ASC LIMIT 15000""",
+ ORDER BY actividad DESC, USUARIO_DOCUMENTO ASC LIMIT """ + str(TOP_USERS),
     "taken_courses": _W(O.ENROL, O.RATINGS) + " SELECT * FROM taken",
     "user_neighbours": _W(O.ENROL, O.RATINGS, O.neighbours_cte(PARAMS.similar_users))
     + " SELECT USUARIO_DOCUMENTO, neighbour, round(sim, 9) AS sim, rank FROM neighbours",
@@ -310,7 +391,7 @@ SQL: dict[str, str] = {
  FROM ndc JOIN nd USING (region)
  WHERE ndc.ID_OFERTA_FORMATIVA IN (SELECT ID_OFERTA_FORMATIVA FROM catalog WHERE ACTIVO = 1)""",
     "audience_match": _W(*_BASE) + """,
- firstrow AS (SELECT USUARIO_DOCUMENTO, min(NIVELNEXUS) AS level FROM enrol_r GROUP BY 1)
+ firstrow AS (SELECT USUARIO_DOCUMENTO, first(NIVELNEXUS ORDER BY ord) AS level FROM enrol_r GROUP BY 1)
  SELECT t.USUARIO_DOCUMENTO, t.ID_OFERTA_FORMATIVA,
    coalesce(CASE WHEN f.level IS NULL THEN upper(c.PUBLICO_OBJETIVO) = 'TODOS'
         WHEN f.level = '' THEN false
@@ -342,4 +423,41 @@ SQL: dict[str, str] = {
     "context_text": O.with_(*O.routing_ctes(ROUTER), O.search_cte(ROUTER), O.CONTEXT)
     + " SELECT query_id, context, n_chunks FROM ctx",
     "answer_prompts": O.with_(*O.routing_ctes(ROUTER), O.search_cte(ROUTER), O.CONTEXT) + O.ANSWERS,
+    "user_neighbours_hot": _W(O.ENROL, O.RATINGS, O.neighbours_cte(PARAMS.similar_users))
+    + " SELECT USUARIO_DOCUMENTO, neighbour, round(sim, 9) AS sim, rank FROM neighbours",
+    "score_popularity": _W(*_BASE, O.CANDIDATES) + f"""
+ SELECT ua.USUARIO_DOCUMENTO, ua.ID_OFERTA_FORMATIVA,
+   row_number() OVER (PARTITION BY ua.USUARIO_DOCUMENTO ORDER BY SCORE_POPULARIDAD DESC, ID_OFERTA_FORMATIVA) AS slot,
+   round(CASE WHEN max_pop > 0 THEN least(greatest(SCORE_POPULARIDAD / max_pop, 0::DOUBLE), 1::DOUBLE) ELSE 0::DOUBLE END, 6) AS score
+ FROM ua JOIN maxpop USING (USUARIO_DOCUMENTO) QUALIFY slot <= {_E}""",
+    "score_novelty": _W(O.ENROL, O.CATALOG) + """
+ SELECT ID_OFERTA_FORMATIVA, "AÑO_MAX", SCORE_NOVEDAD AS score FROM catalog WHERE ACTIVO = 1""",
+    "user_courses": _W(O.ENROL) + """
+ SELECT USUARIO_DOCUMENTO, ID_OFERTA_FORMATIVA, CURSO, "AÑO", CURSO_CULMINADO, APROBACION, CALIFICACIONES FROM enrol_r
+ WHERE USUARIO_DOCUMENTO IN (SELECT CAST(user_id AS VARCHAR) FROM events)""",
+    "course_info": _W(O.ENROL, O.CATALOG, O.LOG, O.DETAILS) + """
+ SELECT ID_OFERTA_FORMATIVA, CURSO, HORAS_PROGRAMA, PUBLICO_OBJETIVO, TOTAL_INSCRITOS, SCORE_POPULARIDAD FROM catalog
+ WHERE ID_OFERTA_FORMATIVA IN (SELECT id_oferta_formativa FROM det)""",
+    "text_enrolments": _W(O.ENROL, O.TEXT_ENROL) + """
+ SELECT * EXCLUDE (raw), round(least(greatest(raw, 0::DOUBLE), 5::DOUBLE), 4) AS RATING_COMPUESTO FROM text_enrol""",
+    "recommend_requests": O.requests_sql(PARAMS),
+    "constraint_violations": O.with_(O.LOG, O.DETAILS, O.DIRTY)
+    + O.CONSTRAINTS.replace("FROM log", "FROM dirty_log").replace("FROM det", "FROM dirty_det"),
+    "cascade_delete": O.with_(O.LOG, O.DETAILS) + """
+ SELECT id, conversacion_id, posicion, score_final, curso FROM det
+ WHERE conversacion_id NOT IN (SELECT id FROM log WHERE tokens_entrada % 2 = 0)""",
+    "route_labelled": O.with_(*O.routing_ctes(ROUTER)) + """
+ SELECT d.query_id, CASE WHEN x THEN lab ELSE kb END AS kb, CASE WHEN x THEN 'Nodo ' || n ELSE node END AS node,
+   CASE WHEN x THEN 'Raiz > Nodo ' || n ELSE path END AS path, method, fast_path, score
+ FROM (SELECT *, query_id % 40 AS n, 'kb_' || (query_id % 40) AS lab,
+         NOT fast_path AND query_id % 40 IN (SELECT label FROM nodes) AS x FROM decision) d""",
+    "search_with_fallback": O.with_(*O.routing_ctes(ROUTER), O.search_cte(ROUTER, general=True)) + " SELECT * FROM hits",
+    "search_general": O.with_(*O.routing_ctes(ROUTER)) + """
+ SELECT vec_id AS query_id, CASE WHEN g > 0 THEN 'qdrant' ELSE 'ninguna' END AS fuente_datos, CASE WHEN g > 0 THEN 'general' END AS nodo_navegacion,
+   CAST(least(g, 3) AS INTEGER) AS n_ref FROM embeddings, (SELECT count(*) AS g FROM embeddings WHERE label % 3 = 0)""",
+    "node_index": """
+ SELECT 'kb_' || doc_id AS knowledge_base, 'Doc ' || doc_id AS name, 'Tema > Doc ' || doc_id AS path, lang || ',' || source AS keywords,
+   'Doc ' || doc_id || '. Fuente ' || source || '. Palabras clave: ' || lang || ', ' || source || '.'
+   || CASE WHEN doc_id % 2 = 0 THEN ' Preguntas que responde: q' || doc_id || ' | r' ELSE '' END AS embed_text
+ FROM documents WHERE doc_id % 3 <> 0""",
 }

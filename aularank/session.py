@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
@@ -32,22 +34,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only if unset.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names: on a cluster, one that driver and executors share.
 
-    A scratch directory is only ever created when nothing is configured (local
-    runs and tests); on a cluster the configured shared folder is used as is.
+    Only a local session (one machine) falls back to a scratch folder where none is configured.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - remote (Connect) sessions manage checkpoints server-side
-        return current
-    if not current:
-        current = sc.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="aularank-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(current)
-    return current
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = LOCAL_CHECKPOINTS
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()

@@ -164,13 +164,15 @@ def clean_enrolments(raw: DataFrame, strict_projection: bool = False) -> DataFra
     """Normalise, validate, default and coerce a raw enrolment table.
 
     Output: canonical typed columns + ``RATING_COMPUESTO`` + ``ord`` (source
-    order; taken from an ``ORD`` column when present, else generated from the
-    scan position).  Rows with a null user or course key are kept here (they
+    order, from the source's own ``ORD`` column: "first" values must not depend on
+    how Spark happened to read or shuffle the rows).  Rows with a null user or course key are kept here (they
     are dropped where grouped, Q6).
     """
     df = require_and_default(select_canonical(apply_aliases(normalise_headers(raw)), strict_projection))
     types = {f.name: f.dataType for f in df.schema.fields}
-    ordc = F.col("ORD").cast("long") if "ORD" in df.columns else F.monotonically_increasing_id()
+    if ORD.upper() not in df.columns:
+        raise ValueError("a source order column ORD is required")
+    ordc = F.col("ORD").cast("long")
     key = lambda c: F.trim(F.col(c).cast("string"))
     out = df.select(
         ordc.alias(ORD),

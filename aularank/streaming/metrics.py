@@ -1,46 +1,32 @@
 """STR-2: daily metrics maintained from the interaction-log stream.
 
-Event-time day windows with a one-day watermark: late rows up to a day
-behind the newest seen timestamp still update their day; older rows are
-dropped by the watermark.  On a bounded input the result equals the batch
-report ``logs.daily_metrics``.
+One state row per (day, task), so no watermark is needed and a late row of any age still counts: on a bounded input
+the result equals the batch report ``logs.daily_metrics``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from aularank.functions.columns import round_half_away
-
-
-def daily_metrics_stream(log_stream: DataFrame, lateness: str = "1 day") -> DataFrame:
-    tokens = F.coalesce(F.col("tokens_entrada"), F.lit(0)) + F.coalesce(F.col("tokens_salida"), F.lit(0))
-    ts = F.col("timestamp").cast("timestamp")
-    agg = (
-        log_stream.withColumn("_ts", ts)
-        .withWatermark("_ts", lateness)
-        .groupBy(F.window("_ts", "1 day"), "tarea")
-        .agg(
-            F.count(F.lit(1)).alias("consultas"),
-            F.avg("latencia_ms").alias("_avg"),
-            F.sum(tokens.cast("long")).alias("tokens_totales"),
-        )
-    )
-    return agg.select(
-        F.to_date(F.col("window.start")).alias("fecha"),
-        "tarea",
-        "consultas",
-        round_half_away(F.col("_avg"), 0).alias("latencia_promedio_ms"),
-        "tokens_totales",
-    )
-
-
-def start_daily_metrics(log_stream: DataFrame, query_name: str, checkpoint: str, output_mode: str = "update",
+
+from aularank.operators.logs import metric_columns
+
+
+def daily_metrics_stream(log_stream: DataFrame, tz: str | None = None) -> DataFrame:
+    """LOG-1 over a stream, with the same day boundaries."""
+    keys, aggregates = metric_columns(log_stream, tz)
+    return log_stream.groupBy(*keys).agg(*aggregates)
+
+
+def start_daily_metrics(log_stream: DataFrame, path: str, checkpoint: str, tz: str | None = None,
                         available_now: bool = False):
-    """Run the stream into a memory table named ``query_name`` (tests / dashboards)."""
-    w = daily_metrics_stream(log_stream).writeStream.outputMode(output_mode).format("memory") \
-        .queryName(query_name).option("checkpointLocation", checkpoint)
+    """Keeps the report in ``<path>/batch=<id>``: each batch writes the whole small report, a retried batch replaces
+    its own folder.  The newest folder is the report."""
+
+    def write(report: DataFrame, batch_id: int) -> None:
+        report.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+
+    w = daily_metrics_stream(log_stream, tz).writeStream.outputMode("complete").foreachBatch(write) \
+        .option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()

@@ -1,7 +1,7 @@
 """STR-1: keep the derived recommender tables fresh as enrolments arrive.
 
 Newly arrived enrolment files are picked up by a file stream; each
-micro-batch is appended to the enrolment table, the model is rebuilt from the
+micro-batch becomes a partition of the enrolment table named by its batch id, which a retry replaces, the model is rebuilt from the
 whole table (catalog-level quantities such as the newest year and every
 popularity normaliser are global, so they are recomputed rather than patched)
 and published as a new version (``publish_model``), flipping the pointer only
@@ -11,31 +11,33 @@ service; the stream's checkpoint makes the refresh resume where it stopped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from aularank.params import RecommenderParams
 from aularank.plans.publish import publish_model
-from aularank.plans.recommend import build_model
+from aularank.plans.recommend import Model, build_model
 from aularank.sources.enrolments import clean_enrolments
 
 
 def start_refresh(spark: SparkSession, incoming: str, schema: T.StructType, table_path: str, model_base: str,
                   checkpoint: str, params: RecommenderParams = RecommenderParams(),
-                  ttl_seconds: int | None = 3600, available_now: bool = False, fmt: str = "parquet"):
+                  ttl_seconds: int | None = 3600, available_now: bool = False, fmt: str = "parquet",
+                  build: Callable[[DataFrame, RecommenderParams], Model] = build_model):
     """Start the refresh stream; returns the ``StreamingQuery``.
 
     ``ttl_seconds`` is the refresh period (the reference reloads every hour);
-    ``available_now`` processes what is there and stops (tests, backfills).
+    ``available_now`` processes what is there and stops (tests, backfills);
+    ``build`` makes the model from the cleaned enrolments.
     """
     stream = spark.readStream.schema(schema).format(fmt).load(incoming)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        batch.write.mode("append").parquet(table_path)
-        enrol = clean_enrolments(spark.read.parquet(table_path))
-        publish_model(build_model(enrol, params), model_base, batch_id)
+        batch.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        enrol = clean_enrolments(spark.read.parquet(table_path).drop("batch_id"))
+        publish_model(build(enrol, params), model_base, batch_id)
 
     writer = stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     if available_now:

@@ -50,7 +50,7 @@ def test_cleaning_rules(spark):
         "anio string, PORCENTAJE_AVANCE string, CALIFICACIONES string, CURSO_CULMINADO string, "
         "HORAS_PROGRAMA string, EDAD string",
     )
-    rows = {r.USUARIO_DOCUMENTO: r for r in clean_enrolments(raw).collect()}
+    rows = {r.USUARIO_DOCUMENTO: r for r in clean_enrolments(raw.withColumn("ORD", F.monotonically_increasing_id())).collect()}
     a, b, c = rows["7"], rows["8"], rows["9"]
     assert a.ID_OFERTA_FORMATIVA == "C1" and a["AÑO"] == 2022 and a.CALIFICACIONES == 5.0
     assert a.CURSO_CULMINADO == 1 and a.RATING_COMPUESTO == 2.5
@@ -74,7 +74,7 @@ def test_composite_rating_edges(spark):
          ("u", "c", "x", "L", 1, 1, 2024, 0.1, 1), ("u", "d", "x", "L", 0, 1, 2024, 0.79, 0)],
         "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string, CURSO string, NIVELNEXUS string, "
         "APROBACION int, ACTIVO int, `AÑO` int, PORCENTAJE_AVANCE double, CURSO_CULMINADO int")
-    got = {r.ID_OFERTA_FORMATIVA: r.RATING_COMPUESTO for r in clean_enrolments(raw).collect()}
+    got = {r.ID_OFERTA_FORMATIVA: r.RATING_COMPUESTO for r in clean_enrolments(raw.withColumn("ORD", F.monotonically_increasing_id())).collect()}
     assert got == {"a": 2.5, "b": 0.5, "c": 2.5, "d": 0.5}
     assert not math.isnan(got["a"])
 

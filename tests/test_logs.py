@@ -1,7 +1,7 @@
 import datetime as dt
 
 from aularank.operators import logs as lg
-from aularank.streaming.metrics import daily_metrics_stream
+from aularank.streaming.metrics import start_daily_metrics
 
 LOG_SCHEMA = ("id int, usuario string, nombre_usuario string, mensaje string, respuesta string, tarea string, "
               "fuente_datos string, tokens_entrada int, tokens_salida int, latencia_ms int, timestamp timestamp")
@@ -47,12 +47,13 @@ def test_cascade_delete(spark):
 def test_stream_metrics_equal_batch(spark, tmp_path):
     log = _log(spark)
     src = str(tmp_path / "log")
-    log.write.parquet(src)
-    stream = spark.readStream.schema(log.schema).parquet(src)
-    q = daily_metrics_stream(stream).writeStream.outputMode("complete").format("memory") \
-        .queryName("dm_test").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted(tuple(r) for r in spark.table("dm_test").collect())
-    want = sorted(tuple(r) for r in lg.daily_metrics(log).collect())
+    log.where("id = 2").write.parquet(src)
+    for batch in range(2):
+        if batch:  # rows that come a day late still count
+            log.where("id = 1").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(log.schema).parquet(src)
+        start_daily_metrics(stream, str(tmp_path / "out"), str(tmp_path / "ck"), "America/Lima", available_now=True).awaitTermination(120)
+    newest = sorted((tmp_path / "out").glob("batch=*"))[-1]
+    got = sorted((tuple(r) for r in spark.read.parquet(str(newest)).collect()), key=str)
+    want = sorted((tuple(r) for r in lg.daily_metrics(log, "America/Lima").collect()), key=str)
     assert got == want

@@ -1,10 +1,16 @@
+import json
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from aularank.operators import features as fe
 from aularank.operators import logs as lg
 from aularank.operators import retrieval as rt
 from aularank.operators import scores as sc
 from aularank.operators.similarity import user_neighbours
+from aularank.sources import enrolments as en
 
 
 def test_default_encoder_gives_unit_vectors(spark):
@@ -30,17 +36,92 @@ def test_audience_regex_mode(spark):
     assert lit == {("SECUNDARIA", "c2")}
 
 
-def test_no_index_route_goes_to_general(spark):
-    q = spark.createDataFrame([(1,)], "query_id long")
-    r = rt.no_index_route(q).first()
-    assert r.kb == "general" and r.method == "sin_indice"
+def test_empty_index_routes_to_general(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0], None)], "query_id long, embedding array<float>, llm_kb string")
+    nodes = spark.createDataFrame([], "knowledge_base string, name string, description string, path string, node_vec_id long, embedding array<float>")
+    r = rt.route_decision(rt.route_candidates(q, nodes), q, nodes).first()
+    assert (r.kb, r.node, r.method, r.candidates, r.score) == ("general", "fallback", "sin_indice", [], None)
 
 
 def test_similarity_universe_cap(spark):
     ratings = spark.createDataFrame(
         [("a", "c1", 2.5), ("a", "c2", 2.5), ("b", "c1", 1.0), ("c", "c1", 0.5), ("c", "c2", 0.5)],
         "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string, rating double")
-    full = {(r.USUARIO_DOCUMENTO, r.neighbour) for r in user_neighbours(ratings, 5, users_per_block=1).collect()}
+    full = {(r.USUARIO_DOCUMENTO, r.neighbour) for r in user_neighbours(ratings, 5).collect()}
     capped = {(r.USUARIO_DOCUMENTO, r.neighbour) for r in user_neighbours(ratings, 5, cap=2).collect()}
     # activity a=5, b=1, c=1: the cap of 2 keeps a and b (ties by id ascending)
     assert ("c", "a") in full and capped and all("c" not in p for p in capped)
+
+
+@pytest.mark.parametrize("hot_raters", [1, 8, 1000])
+def test_neighbours_with_hot_courses_equal_brute_force(spark, hot_raters):
+    rng = random.Random(5)
+    rows = {}
+    for u in range(90):
+        if u % 3 == 0:
+            rows[(f"u{u:03d}", "hot")] = rng.choice([0.5, 2.5, 2.5])  # a course of a third of the users
+        for _ in range(rng.randint(0, 3)):
+            rows[(f"u{u:03d}", f"c{rng.randint(0, 30)}")] = rng.choice([0.0, 0.5, 1.5, 2.5])
+    df = spark.createDataFrame([(u, c, r) for (u, c), r in rows.items()], "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string, rating double")
+    vec = {}
+    for (u, c), r in rows.items():
+        if r > 0:
+            vec.setdefault(u, {})[c] = r
+    want = {}
+    for u, a in vec.items():
+        sims = []
+        for v, b in vec.items():
+            dot = sum(x * b.get(c, 0.0) for c, x in a.items())
+            if u != v and dot > 0:
+                sims.append((-dot / (np.sqrt(sum(x * x for x in a.values())) * np.sqrt(sum(x * x for x in b.values()))), v))
+        for rank, (_, v) in enumerate(sorted(sims)[:5], 1):
+            want[(u, rank)] = v
+    got = {(r.USUARIO_DOCUMENTO, r["rank"]): r.neighbour for r in user_neighbours(df, 5, hot_raters=hot_raters).collect()}
+    assert got == want
+
+
+def test_deep_tree_and_query_id_equal_to_node_id(spark):
+    tree = {"name": "n79", "description": "d", "knowledge_base": "kb_deep"}
+    for i in range(78, -1, -1):
+        tree = {"name": f"n{i}", "description": "d", "children": [tree]}
+    got = rt.flatten_tree(spark.createDataFrame([(json.dumps({"children": [tree]}),)], "json string")).collect()
+    assert [r.knowledge_base for r in got] == ["kb_deep"] and len(got[0].path.split(" > ")) == 80
+    nodes = spark.createDataFrame([("kb_7", "N7", "d", "p", 7, [1.0, 0.0]), ("kb_8", "N8", "d", "p", 8, [0.0, 1.0])],
+                                  "knowledge_base string, name string, description string, path string, node_vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert [r.knowledge_base for r in rt.route_candidates(q, nodes).orderBy("rank").collect()] == ["kb_7", "kb_8"]
+    pair = spark.createDataFrame([(7, 7)], "left_id long, right_id long")
+    assert [r.knowledge_base for r in rt.route_candidates(q, nodes, excluded=pair).collect()] == ["kb_8"]
+
+
+def test_read_tree_missing_path_is_an_empty_index(spark, tmp_path):
+    assert rt.read_tree(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "t.json").write_text('{"children": []}')
+    assert rt.read_tree(spark, str(tmp_path / "t.json")).count() == 1
+
+
+def test_encoder_is_loaded_once_a_task(spark):
+    def load():
+        return lambda s: s.map(lambda t: [float(len(t)), 1.0])
+
+    rows = rt.embed(spark.createDataFrame([("ab",), (None,)], "text string"), "text", "q: ", encoder=load).collect()
+    assert sorted(tuple(r.embedding) for r in rows) == [(3.0, 1.0), (5.0, 1.0)]
+
+
+def test_point_lookups_and_new_courses(spark):
+    cat = spark.createDataFrame([("c1", 1), ("c2", 1), ("c3", 0)], "ID_OFERTA_FORMATIVA string, ACTIVO int")
+    taken = spark.createDataFrame([("u1", "c1"), ("u2", "c3")], "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string")
+    assert fe.course_info(cat, "c1").count() == 1 and fe.course_info(cat, "zz").count() == 0
+    got = sorted(tuple(r) for r in fe.new_courses_for_users(taken, taken, cat).collect())
+    assert got == [("u1", "c2"), ("u2", "c1"), ("u2", "c2")]
+    assert [r.ID_OFERTA_FORMATIVA for r in fe.user_enrolments(taken, taken.limit(1)).collect()] == ["c1"]
+
+
+def test_sources_fall_back_in_order(spark, tmp_path):
+    spark.createDataFrame([(1,)], "a int").write.csv(str(tmp_path / "csv"), header=True)
+    df, name = en.first_available([("table", lambda: en.read_table(spark, "no_such_table")), ("files", lambda: en.read_files(spark, str(tmp_path / "csv"), "csv"))])
+    assert name == "files" and df.first().a == "1"
+    with pytest.raises(RuntimeError):
+        en.first_available([("table", lambda: en.read_table(spark, "no_such_table"))])
+    with pytest.raises(ValueError, match="ORD"):
+        en.clean_enrolments(spark.createDataFrame([("u", "c", "x", 1, 1, "n", 2024)], "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string, CURSO string, APROBACION int, ACTIVO int, NIVELNEXUS string, `AÑO` int"))

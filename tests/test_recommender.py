@@ -135,7 +135,7 @@ def run_case(spark, seed, params):
 
 def test_hybrid_matches_per_user_evaluation(spark):
     for seed in (1, 2):
-        got, want, recs = run_case(spark, seed, RecommenderParams(users_per_block=8))
+        got, want, recs = run_case(spark, seed, RecommenderParams(hot_raters=6))
         assert got == want
         # T5 invariants: positions contiguous, no taken course, <= top_k per user
         pdf = recs.toPandas()
@@ -144,7 +144,7 @@ def test_hybrid_matches_per_user_evaluation(spark):
 
 
 def test_fallback_when_nothing_passes_min_score(spark):
-    got, want, recs = run_case(spark, 3, RecommenderParams(min_score=1.01, users_per_block=8))
+    got, want, recs = run_case(spark, 3, RecommenderParams(min_score=1.01, hot_raters=6))
     assert got == want
     assert all(m == ["popularidad_fallback"] for m in recs.toPandas()["metodos_usados"].map(list))
 
@@ -153,10 +153,10 @@ def test_per_request_top_k_and_subset_equals_all(spark):
     """SRC-6 / FLT-13 and T4: a users subset with per-request k equals all users cut at k."""
     from pyspark.sql import functions as F
 
-    params = RecommenderParams(users_per_block=8)
+    params = RecommenderParams(hot_raters=6)
     enrol = clean_enrolments(spark.createDataFrame(make_rows(4), SCHEMA))
     model = rp.build_model(enrol, params, checkpoint=False)
-    full5 = rp.recommend(model, None, RecommenderParams(top_k=5, users_per_block=8))
+    full5 = rp.recommend(model, None, RecommenderParams(top_k=5, hot_raters=6))
     req = spark.createDataFrame([("U01", 5), ("U02", None), ("U03", -1), ("NOBODY", 2)], "USUARIO_DOCUMENTO string, top_k int")
     got = rp.recommend(model, req, params)
     rows = {(r.USUARIO_DOCUMENTO, r.posicion): r.ID_OFERTA_FORMATIVA for r in got.collect()}
