@@ -39,8 +39,8 @@ def urls(paths: tuple, patterns: tuple) -> str:
     verdict = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in paths)
     verdict += " " + " ".join(f"WHEN regexp_matches(low, '{p.regex}') THEN '{p.verdict}'" for p in patterns)
     return f"""
-WITH a AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at FROM pages),
-b AS (SELECT page_id, {_low('url')} AS low, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM a),
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+b AS (SELECT page_id, {_low('url')} AS low, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM a),
 c AS (SELECT page_id, low, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM b),
 d AS (SELECT page_id, low, {_low('h')} AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM c),
 e AS (SELECT *, CASE {rule} ELSE NULL END AS rule FROM d)
@@ -50,7 +50,7 @@ SELECT page_id, host, path, rule, CASE {verdict} ELSE 'allow' END AS verdict FRO
 
 def _shingles(table: str, key: str) -> str:
     return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM {table}"""
+  ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM {table}"""
 
 
 _WORDS = "regexp_extract_all(" + _low("coalesce(text, '')") + r", '[a-z0-9\x{80}-\x{10FFFF}]+')"
