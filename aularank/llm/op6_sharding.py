@@ -1,9 +1,10 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly, equal texts kept together.
 
 Groups of equal texts are dealt by hash into a fixed number of cells, so what is packed on the driver never grows
-with the data: one vector a cell.  A group that holds a notable share of all rows, bytes or tokens is first split
-into pieces that are cells of their own.  Cells go largest first to the shard whose residual capacity has the
-highest dot product with them, among those that still have room for their bytes.
+with the data: one vector a cell.  A group that holds a notable share of all rows, bytes or tokens is first dealt into
+pieces that are cells of their own, so no task numbers a whole hot group.  Its pieces are placed together, unless
+the group would fill over half a shard: then each is placed by itself.  Units go largest first to the shard whose
+residual capacity has the highest dot product with them, among those that still have room for their bytes.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql.window import Window
 from aularank.llm.common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Cells for each shard, and the share of a shard that a group may have before it is split.
+#: Cells for each shard, the share of a shard that a group may have before it is dealt into pieces, and the share
+#: beyond which its pieces need not stay together.
 CELLS_PER_SHARD = 1024
 SPLIT_SHARE = 1 / 64
+WHOLE_SHARE = 1 / 2
+PIECES = 1 << 16
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -41,6 +45,20 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def units(cells: np.ndarray, vectors: np.ndarray, first_piece: int, shards: int) -> np.ndarray:
+    """The unit that each cell is placed with: the pieces of a group that is not too large go together."""
+    out = np.arange(len(cells))
+    group = np.where(cells >= first_piece, (cells - first_piece) // PIECES, -1)
+    share = vectors / np.maximum(vectors.sum(0), 1e-9)
+    _, of = np.unique(group, return_inverse=True)
+    total = np.zeros((of.max() + 1 if len(of) else 0, vectors.shape[1]))
+    np.add.at(total, of, share)
+    together = (group >= 0) & (total[of].max(1) <= WHOLE_SHARE / shards)
+    first = np.full(len(total), len(cells))
+    np.minimum.at(first, of, out)
+    return np.where(together, first[of], out)
+
+
 def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, n_tokens, shard, slot) for every row.
 
@@ -63,11 +81,14 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     hot = sums.where(share > SPLIT_SHARE / shards).select(*key, F.ceil(share * (2 * shards / SPLIT_SHARE)).cast("long").alias("pieces"))
     rows = rows.join(F.broadcast(hot), key, "left")
     own = F.pmod(F.xxhash64("group", "text_crc32", "size"), F.lit(cells))
-    piece = F.lit(cells) + F.pmod(F.xxhash64("group", "text_crc32", "size"), F.lit(1 << 40)) * 65536 + F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
+    piece = F.lit(cells) + F.pmod(F.xxhash64("group", "text_crc32", "size"), F.lit(1 << 40)) * PIECES + F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
     rows = cut(rows.withColumn("cell", F.when(F.col("pieces").isNull(), own).otherwise(piece)).drop("pieces", "group"))
     held = rows.groupBy("cell").agg(F.sum("size").alias("b"), F.sum("n_tokens").alias("t"), F.count("*").alias("n")).orderBy("cell").collect()  # a row a cell
     vectors = np.array([[r["b"], r["t"], r["n"]] for r in held], float)
-    at = place(vectors, shards)
+    _, unit = np.unique(units(np.array([r["cell"] for r in held]), vectors, cells, shards), return_inverse=True)
+    whole = np.zeros((unit.max() + 1, 3))
+    np.add.at(whole, unit, vectors)
+    at = place(whole, shards)[unit]
     base = np.zeros(len(held), np.int64)
     for s in range(shards):
         own_cells = np.flatnonzero(at == s)

@@ -10,7 +10,7 @@ from aularank.llm import op6_sharding
 def test_laws(spark, docs_of):
     rng = random.Random(5)
     rows = [(i, "w" * rng.randint(0, 400) + " x" * rng.randint(0, 50)) for i in range(3000)]
-    rows += [(10_000 + i, "copy of one text") for i in range(1500)] + [(20_000 + i, "pair") for i in range(2)]
+    rows += [(10_000 + i, "copy of one text") for i in range(1500)] + [(20_000 + i, "pair") for i in range(2)] + [(40_000 + i, "many copies") for i in range(150)]
     rows += [(30_000, None), (30_001, ""), (None, "no id"), (30_002, "twice"), (30_002, "twice")]
     got = op6_sharding.shard(docs_of(rows), shards=8).collect()
     assert len(got) == len(rows)
@@ -28,6 +28,7 @@ def test_laws(spark, docs_of):
     by_text = defaultdict(set)
     for r in got:
         by_text[text[r["doc_id"]][0]].add(r["shard"])
+    assert len(by_text["many copies"]) == 1  # over a sixty-fourth of a shard, under half of one
     assert len(by_text["pair"]) == 1 and len(by_text["twice"]) == 1
     assert len(by_text["copy of one text"]) > 4  # a third of all rows: split
 
