@@ -9,6 +9,7 @@ the sketch.  The candidate search therefore loses nothing.  Every candidate is v
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,10 +90,10 @@ class ItemIndex:
         return out
 
 
-_built: dict[tuple, ItemIndex] = {}
+_built: dict[str, ItemIndex] = {}
 
 
-def _index(key: tuple, items: list[tuple], values: tuple) -> ItemIndex:
+def _index(key: str, items: list[tuple], values: tuple) -> ItemIndex:
     """The block's index, built once in a Python worker; the last one stays."""
     if key not in _built:
         _built.clear()
@@ -132,10 +133,10 @@ def with_hits(docs: DataFrame, items: DataFrame, params: DecontaminateParams = D
     schema = T.StructType([T.StructField(i, f.dataType) for i, f in zip(inner, fields)] + [T.StructField("text__", T.StringType()), T.StructField("hits__", hits_type)])
     out = out.withColumn("hits__", F.array().cast(hits_type))
     values = (params.shingle, params.containment, params.block_bytes)
-    for k, block in enumerate(blocks(items, params)):
+    for block in blocks(items, params):
         cell = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], cell=cell, key=(id(cell), k, len(block), values)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], cell=cell, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             index = None
             for part in slices(batches, "text__"):
                 index = index or _index(key, cell.value, values)
