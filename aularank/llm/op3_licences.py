@@ -7,6 +7,7 @@ template are chained, in order, into the span of it that the text covers.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,13 +58,13 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers; states know where in which templates they end first."""
+    """Generalised suffix automaton over word numbers; states know where in which templates they end."""
 
     def __init__(self, phrases: tuple, templates: tuple):
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # template -> first end position
+        self.ends: list[dict[int, set[int]]] = [{}]  # template -> all end positions
         number = lambda text: [self.ids.setdefault(w, len(self.ids)) for w in words_of(text.encode())]
         self.templates = [(label, number(text)) for label, text in templates]
         self.phrases = [(label, number(text)) for text, label in phrases]
@@ -74,9 +75,9 @@ class Automaton:
         order = sorted(range(1, len(self.size)), key=lambda s: -self.size[s])
         for s in order:  # a state's suffix ends wherever the state does
             up = self.ends[self.link[s]]
-            for t, end in self.ends[s].items():
+            for t, ends in self.ends[s].items():
                 if self.link[s] > 0:
-                    up[t] = min(up.get(t, end), end)
+                    up.setdefault(t, set()).update(ends)
         phrase_state: dict[int, list[tuple[int, str]]] = {}
         for label, run in self.phrases:
             s = 0
@@ -87,7 +88,7 @@ class Automaton:
         for s in reversed(order):
             self.closes[s] = self.closes[self.link[s]] + phrase_state.get(s, [])
 
-    def _state(self, size: int, next_: dict[int, int], link: int, ends: dict[int, int]) -> int:
+    def _state(self, size: int, next_: dict[int, int], link: int, ends: dict[int, set[int]]) -> int:
         self.size.append(size)
         self.next.append(next_)
         self.link.append(link)
@@ -120,16 +121,29 @@ class Automaton:
                     self.link[new] = q if self.size[q] == self.size[p] + 1 else self._split(p, q, w)
                 last = new
             if template >= 0:
-                self.ends[last].setdefault(template, at)
+                self.ends[last].setdefault(template, set()).add(at)
+
+
+@dataclass(frozen=True)
+class Span:
+    """A chain: first and last word of the text, first and last word of the template, covered share of the template."""
+
+    template: int
+    first_word: int
+    last_word: int
+    from_word: int
+    to_word: int
+    cover: float
 
 
 @dataclass
 class Found:
-    """Phrase places (start word, label), and the covered share of each template that a chain reached."""
+    """Phrase places (start word, label), all chains by their place, and the best covered share of each template."""
 
     n_words: int
     places: list[tuple[int, str]]
     cover: dict[int, float]
+    spans: list[Span]
 
 
 def scan(data: bytes, a: Automaton, p: LicenceParams) -> Found:
@@ -163,24 +177,58 @@ def scan(data: bytes, a: Automaton, p: LicenceParams) -> Found:
                 places.append((i - k + 1, label))
     if size >= least:
         matches.append((len(words) - size, size, s))
-    return Found(len(words), places, _chains(matches, a, p) if matches else {})
+    spans = _chains(matches, a, p) if matches else []
+    best: dict[int, float] = {}
+    for x in spans:
+        best[x.template] = max(best.get(x.template, 0.0), x.cover)
+    return Found(len(words), places, best, spans)
 
 
-def _chains(matches: list[tuple[int, int, int]], a: Automaton, p: LicenceParams) -> dict[int, float]:
-    """The best covered share of each template: matches chained while the text gap is small and the template goes on."""
-    best: dict[int, float] = {}
-    now: dict[int, tuple[int, int, int]] = {}  # template -> (text word after, template word after, covered)
+def _chains(matches: list[tuple[int, int, int]], a: Automaton, p: LicenceParams) -> list[Span]:
+    """Matches chained while the text gap is small and text and template go on, over all places in a template.
+
+    Every pair of a match and a place in a template knows its best way there; then, from the best end back, chains are
+    taken that share no text word with a chain of the same template taken before.
+    """
+    pairs: dict[int, list[tuple[int, int, int]]] = {}  # template -> (first word, template word, words), in text order
     for first, size, s in matches:
-        for t, end in a.ends[s].items():
-            begin, after = end - size + 1, end + 1
-            last_text, last_template, covered = now.get(t, (-1, 0, 0))
-            if last_text >= 0 and first - last_text <= p.gap and after > last_template:
-                covered += after - max(begin, last_template)
-            else:
-                covered = size
-            now[t] = (first + size, after, covered)
-            best[t] = max(best.get(t, 0.0), min(1.0, covered / len(a.templates[t][1])))
-    return best
+        for t, ends in a.ends[s].items():
+            pairs.setdefault(t, []).extend((first, end - size + 1, size) for end in sorted(ends))
+    spans = []
+    for t, own in pairs.items():
+        best, before, low = [], [], 0
+        for i, (first, begin, size) in enumerate(own):
+            while own[low][0] + own[low][2] < first - p.gap:  # ends go up with the matches
+                low += 1
+            covered, back = size, -1
+            for j in range(low, i):
+                first_j, begin_j, size_j = own[j]
+                new = size - max(0, first_j + size_j - first, begin_j + size_j - begin)  # no word of either is used twice
+                if new > 0 and first_j < first and begin_j < begin and best[j] + new >= covered:  # of equals, the nearest
+                    covered, back = best[j] + new, j
+            best.append(covered)
+            before.append(back)
+        starts: list[int] = []
+        taken: list[tuple[int, int]] = []  # text words [first, after) of the chains taken, in order
+        for i in sorted(range(len(own)), key=lambda k: (-best[k], k)):
+            chain, k = [], i
+            while k >= 0:
+                first, _, size = own[k]
+                at = bisect_left(starts, first + size)
+                if at and taken[at - 1][1] > first:
+                    break
+                chain.append(k)
+                k = before[k]
+            if chain:
+                first, begin, _ = own[chain[-1]]
+                # the last match stands for all of its words where the way before it is another chain's
+                covered = own[chain[-1]][2] + best[i] - best[chain[-1]]
+                after, to = own[i][0] + own[i][2], own[i][1] + own[i][2]
+                at = bisect_left(starts, first)
+                starts.insert(at, first)
+                taken.insert(at, (first, after))
+                spans.append(Span(t, first, after - 1, begin, to - 1, covered / len(a.templates[t][1])))
+    return sorted(spans, key=lambda x: (x.first_word, x.template))
 
 
 _built: dict[tuple, Automaton] = {}
@@ -191,11 +239,13 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, params:
 
     n_base counts all phrase places; base_labels are their labels; labels has also those of templates covered to
     ``cover`` or more; score is the best cover, or 1 where a phrase stands.  Null and empty texts have no words: counts 0,
-    null first and last word, empty labels, score 0.  Long texts are scanned whole, repeated rows one by one; other
+    null first and last word, empty labels, score 0, no spans.  spans are all chains by their place: label, template
+    (its place in ``templates``), first and last word of the text, first and last word of the template, cover.  Long texts are scanned whole, repeated rows one by one; other
     columns are not read; an empty table gives an empty one.
     """
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(),
+             pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), *((x, pa.int64()) for x in ("first_word", "last_word", "from_word", "to_word")), ("cover", pa.float64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _built.get((phrases, templates)) or _built.setdefault((phrases, templates), Automaton(phrases, templates))
@@ -207,8 +257,10 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, params:
                 own = {a.templates[t][0] for t, c in f.cover.items() if c >= params.cover}
                 starts = [x for x, _ in f.places]
                 rows.append((f.n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)),
-                             1.0 if base else max(f.cover.values(), default=0.0)))
+                             1.0 if base else max(f.cover.values(), default=0.0),
+                             [{"label": a.templates[x.template][0], **vars(x)} for x in f.spans]))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[1:]))], names)
 
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return source.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+                             "spans array<struct<label: string, template: int, first_word: long, last_word: long, from_word: long, to_word: long, cover: double>>")

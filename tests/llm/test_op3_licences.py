@@ -38,6 +38,28 @@ def test_every_template_is_found():
             assert L.scan(" ".join(words).encode(), a, L.LicenceParams()).cover[t] > 0.9
 
 
+def test_spans_tell_where_a_licence_stands(spark, docs_of):
+    cc = "Licensed under CC BY-NC 4.0"
+    rows = [(1, "zz " * 5 + cc + " zz" * 30 + " " + cc + " " + cc), (2, None), (3, "zz")]
+    got = {r["doc_id"]: r["spans"] for r in L.license_scan(docs_of(rows)).collect()}
+    t, size = len(L.TEMPLATES) - 1, len(L.words_of(cc.encode()))
+    want = [("cc-nc", t, at, at + size - 1, 0, size - 1, 1.0) for at in (5, 35 + size, 35 + 2 * size)]
+    assert [tuple(x) for x in got[1]] == want and got[2] == got[3] == []
+
+
+def test_chain_goes_on_at_the_second_place_of_repeated_words():
+    a = L.Automaton(L.PHRASES, L.TEMPLATES)
+    t = next(i for i, (label, _) in enumerate(L.TEMPLATES) if label == "bsd")
+    text = L.TEMPLATES[t][1].replace("must reproduce the above", "must replicate the above").replace("disclaimer in the documentation", "disclaimer inside the documentation")
+    n = len(L.words_of(text.encode()))
+    f = L.scan(text.encode(), a, L.LicenceParams())
+    assert f.cover[t] == (n - 2) / n
+    # a match that lies behind does not end the chain
+    words = L.TEMPLATES[t][1].split()
+    stray = " ".join(words[:40] + ["zz"] + words[:5] + ["zz"] + words[40:])
+    assert L.scan(stray.encode(), a, L.LicenceParams()).cover[t] == 1.0
+
+
 def test_rows(spark, docs_of):
     long = "word " * 200_000 + "MIT-License."
     rows = [(1, "Released under the MIT License. mit\nlicense"), (2, None), (3, ""), (4, long), (4, long), (None, "Licensed under CC BY-NC 4.0")]
