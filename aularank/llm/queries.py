@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aularank.llm import op1_chat, op2_mixing, op3_licences, op4_urls, op5_tokens, op6_sharding, op7_quality, op8_decontaminate, op9_simhash, op10_packing, oracles
+from aularank.llm import op1_chat, op2_mixing, op3_licences, op4_urls, op5_tokens, op6_sharding, op7_quality, op8_decontaminate, op9_simhash, op10_packing, op11_collocations, op12_toxic, op13_negatives, oracles
 from aularank.llm.common import table
 
 CHAT_TOKENIZER = "byte_bpe_50k.json"
@@ -61,10 +61,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = op12_toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_spans")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 SPARK = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_license_scans, op4_url_filters, op5_token_counts, op6_sharding_bytes, op7_quality_rules,
-                                 op8_benchmark_decontamination, op9_simhash_near_dedup, op10_best_fit_packing)}
+                                 op8_benchmark_decontamination, op9_simhash_near_dedup, op10_best_fit_packing,
+                                 op11_phrase_collocations, op12_toxicity, op13_hard_negatives)}
 SQL = {
     "op1_chat_formatting": oracles.CHAT,
     "op4_url_filters": oracles.urls(op4_urls.PATH_RULES, op4_urls.PATTERNS),
     "op8_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op11_phrase_collocations": oracles.COLLOCATIONS,
+    "op13_hard_negatives": oracles.NEGATIVES,
 }
