@@ -1,7 +1,7 @@
 """Phrase collocation mining over depth-truncated suffix subtrees, partitioned vertically by word prefixes.
 
-Every word begins a suffix (the words up to the end of its piece, at most ``longest``).  Suffixes are cut where a word or a
-pair is too rare to stand in any candidate (hashed counts of all texts, which only ever err towards keeping), counted within a slice
+Every word begins a suffix (the words up to the end of its piece, at most ``longest``).  Suffixes are cut where a word, pair or
+triple is too rare to stand in any candidate (hashed counts of all texts, which only ever err towards keeping), counted within a slice
 of text, and filed under hashed prefixes.  Prefixes are counted, those beyond a memory budget are made longer by a word, and
 the rest are packed into groups of about that budget.  Each group builds its own subtree from its sorted suffixes,
 keeping only the path to the newest leaf; a node's count is the total of its leaves.
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from aularank.functions.ranking import segment_positions
 from aularank.llm.common import cut, slices, use_checkpoint_dir
 
-#: Hashed slots in which words and pairs are counted, and the slots of one shuffled row.
-SLOTS = 1 << 24
-CHUNK = 1 << 16
+#: Words, pairs and triples are counted under 32 bits of their hash: 10 name a bucket, 22 a counter in it.  What reaches the
+#: other tasks is a bit for every 32 counters: 2**27 bits, 16 MB, whatever the input.
+BUCKETS = 1 << 10
+COUNTERS = 1 << 22
+BITS = 1 << 17
 #: Text bytes counted together before rows leave a task.
 COUNT_BYTES = 8 << 20
 UNKNOWN = "und"
@@ -42,7 +44,7 @@ class CollocationParams:
     scale: int = 2_000_000
     inside_percent: int = 80
     top: int = 2000
-    budget_rows: int = 250_000
+    budget_rows: int = 50_000
     most_groups: int = 8192
 
 
@@ -61,14 +63,20 @@ def words_of(texts: list[bytes], lang: str) -> tuple[np.ndarray, list[bytes], np
     return x, list(ids), np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in ids), np.uint64, len(ids))
 
 
-def word_slots(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
+def word_keys(h: np.ndarray) -> np.ndarray:
+    """32 bits of each word's hash."""
+    return h & np.uint64(0xFFFFFFFF)
 
 
-def pair_slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
-        return ((mixed * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(40)).astype(np.int64)
+        return (mixed * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(32)
+
+
+def triple_keys(pair: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """32 bits of three words, of the first two's key and the third's hash."""
+    return pair_keys(pair + np.uint64(0x27D4EB2F165667C5), h)
 
 
 def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -81,51 +89,63 @@ def by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
 
 
 def often(docs: DataFrame, least: int) -> np.ndarray:
-    """Of each slot, whether the words and pairs that hash to it occur ``least`` times together: a bit a slot, 2 MB."""
+    """Bits that tell of a key whether the words, pairs and triples that share its bit may occur ``least`` times."""
     most = min(least, 255)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SLOTS, np.uint8)
         for lang, texts in by_lang(batches):
             x, _, h = words_of(texts, lang)
-            times = np.bincount(x, minlength=len(h))
             both = np.flatnonzero((x[:-1] > 0) & (x[1:] > 0))
-            slots, n = np.unique(pair_slots(h[x[both]], h[x[both + 1]]), return_counts=True)
-            table[slots] = np.minimum(most, table[slots] + n)
-            slots = word_slots(h[1:])
-            sums = np.bincount(np.unique(slots, return_inverse=True)[1], weights=times[1:]) if len(slots) else np.zeros(0)
-            slots = np.unique(slots)
-            table[slots] = np.minimum(most, table[slots] + sums)
-        full = [k for k in range(SLOTS // CHUNK) if table[k * CHUNK : (k + 1) * CHUNK].any()]
-        if full:
-            bodies = [pa.compress(table[k * CHUNK : (k + 1) * CHUNK].tobytes(), codec="zstd", asbytes=True) for k in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(bodies, pa.binary())], ["chunk", "body"])
+            found = [(word_keys(h[1:]), np.bincount(x, minlength=len(h))[1:])]
+            pair = pair_keys(h[x[both]], h[x[both + 1]])
+            found.append(np.unique(pair, return_counts=True))
+            next_ = np.flatnonzero(np.diff(both) == 1)  # pairs that go on by a word
+            found.append(np.unique(triple_keys(pair[next_], h[x[both[next_] + 2]]), return_counts=True))
+            keys, n = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(keys)
+            new = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))  # a word and a pair may share one
+            keys, n = keys[order][new], np.minimum(np.add.reduceat(n[order], new) if len(new) else n, most).astype(np.uint8)
+            ends = np.searchsorted(keys, np.arange(1, BUCKETS + 1, dtype=np.uint64) * np.uint64(COUNTERS))
+            own = (keys & np.uint64(COUNTERS - 1)).astype(np.int32)
+            out = []
+            for k, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
+                if start < end:  # steps between sorted counters and how often: small numbers
+                    out.append((k, int(end - start), pa.compress(np.diff(own[start:end], prepend=np.int32(0)).tobytes() + n[start:end].tobytes(), codec="zstd", asbytes=True)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "body"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, np.zeros(CHUNK, np.int32)
+        at, held = None, np.zeros(COUNTERS, np.uint8)
 
         def bits() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(held >= most).tobytes()], pa.binary())], ["chunk", "bits"])
+            reached = (held >= most).reshape(-1, BITS).any(0)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(reached).tobytes()], pa.binary())], ["bucket", "bits"])
 
         for batch in batches:
-            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if chunk != at:
+            for bucket, n, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if bucket != at:
                     if at is not None:
                         yield bits()
-                    at, held = chunk, np.zeros(CHUNK, np.int32)
-                held = np.minimum(held + np.frombuffer(pa.decompress(body.as_buffer(), CHUNK, codec="zstd"), np.uint8), most)
+                    at, held = bucket, np.zeros(COUNTERS, np.uint8)
+                plain = pa.decompress(body.as_buffer(), 5 * n, codec="zstd")
+                slots, times = np.cumsum(np.frombuffer(plain, np.int32, n)), np.frombuffer(plain, np.uint8, n, 4 * n)
+                held[slots] = np.minimum(most, held[slots] + times.astype(np.int32))
         if at is not None:
             yield bits()
 
-    sums = docs.mapInArrow(count, "chunk int, body binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(total, "chunk int, bits binary")
-    out = np.zeros(SLOTS // 8, np.uint8)
-    for r in sums.collect():  # SLOTS / CHUNK rows of CHUNK bits, whatever the input
-        out[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    sums = (docs.mapInArrow(count, "bucket int, n int, body binary").repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(total, "bucket int, bits binary"))
+    out = np.zeros((BUCKETS, BITS // 8), np.uint8)
+    for r in sums.collect():  # BUCKETS rows of BITS bits, whatever the input
+        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
 
 
-def _bits(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (table[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
+def _bits(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    k = keys.astype(np.int64)
+    at = k // COUNTERS * BITS + k % BITS
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 def suffix_counts(texts: list[bytes], lang: str, table: np.ndarray, longest: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -134,19 +154,25 @@ def suffix_counts(texts: list[bytes], lang: str, table: np.ndarray, longest: int
     Each word occurrence is in exactly one count: that of its suffix, cut before what ``table`` tells to be rare.
     """
     x, words, h = words_of(texts, lang)
-    known = _bits(table, word_slots(h))
+    known = _bits(table, word_keys(h))
     known[0] = False
     small = np.cumsum(known) * known  # numbers of the words that stay
     x = np.concatenate([x, np.zeros(longest, np.int64)])
     ok = known[x]
     pair = np.zeros(len(x), bool)
     at = np.flatnonzero(ok[:-1] & ok[1:])
-    pair[at] = _bits(table, pair_slots(h[x[at]], h[x[at + 1]]))
-    depth = ok.astype(np.int64)
-    run = ok.copy()
-    for k in range(longest - 1):
-        run[: len(x) - k - 1] &= pair[k : len(x) - 1]
-        run[len(x) - k - 1 :] = False
+    keys = pair_keys(h[x[at]], h[x[at + 1]])
+    fits = _bits(table, keys)
+    at, keys = at[fits], keys[fits]
+    pair[at] = True
+    triple = np.zeros(len(x), bool)
+    two = np.flatnonzero(np.diff(at) == 1)
+    triple[at[two]] = _bits(table, triple_keys(keys[two], h[x[at[two] + 2]]))
+    depth = ok.astype(np.int64) + pair
+    run = pair.copy()
+    for k in range(longest - 2):  # one word more needs the triple that it ends
+        run[: len(x) - k] &= triple[k:]
+        run[len(x) - k :] = False
         depth += run
     size = int(known.sum()) + 1
     nothing = int(((x > 0) & (depth == 0)).sum())
@@ -174,7 +200,7 @@ def suffix_counts(texts: list[bytes], lang: str, table: np.ndarray, longest: int
 def suffixes(docs: DataFrame, table: np.ndarray, longest: int) -> DataFrame:
     """(lang, suffix, n, h1, h2, h3), written to the shared folder."""
     spark = docs.sparkSession
-    cell = spark.sparkContext.broadcast(table)  # SLOTS bits
+    cell = spark.sparkContext.broadcast(table)  # 16 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in by_lang(batches):
@@ -183,7 +209,7 @@ def suffixes(docs: DataFrame, table: np.ndarray, longest: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(h[:, k], pa.int32()) for k in range(3)], ["lang", "suffix", "n", "h1", "h2", "h3"])
 
     path = f"{use_checkpoint_dir(spark)}/suffixes-{uuid.uuid4().hex}"
-    docs.mapInArrow(run, "lang string, suffix binary, n long, h1 int, h2 int, h3 int").write.parquet(path)
+    docs.mapInArrow(run, "lang string, suffix binary, n long, h1 int, h2 int, h3 int").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -198,7 +224,8 @@ def grouped(rows: DataFrame, p: CollocationParams) -> DataFrame:
     budget = 0
     for level in range(1, 4):
         own = keys[:level]
-        part = rows if heavy is None else rows.join(F.broadcast(heavy), own[:-1], "left_semi")  # fewer than most_groups rows
+        code = F.lit(0) if level == 1 else sum(F.col(k).cast("long") * (1 << 20 * i) for i, k in enumerate(own[:-1]))
+        part = rows if heavy is None else rows.where(code.isin(heavy))  # fewer than most_groups prefixes
         counts = part.groupBy(*own).agg(F.count("*").alias("rows")).toArrow().sort_by([(k, "ascending") for k in own]).to_pylist()
         budget = budget or max(p.budget_rows, sum(r["rows"] for r in counts) // p.most_groups)
         filled, out, over = 0, [], []
@@ -215,7 +242,7 @@ def grouped(rows: DataFrame, p: CollocationParams) -> DataFrame:
         tables.append(spark.createDataFrame(pa.table({n: pa.array([x[k] for x in out], pa.int32()) for k, n in enumerate([*own, f"g{level}"])})))
         if not over:
             break
-        heavy = spark.createDataFrame(over, ", ".join(f"{k} int" for k in own))
+        heavy = [sum(x << 20 * i for i, x in enumerate(key)) for key in over]
     for level, t in enumerate(tables, 1):
         rows = rows.join(F.broadcast(t), keys[:level], "left")  # bounded as above
     found = [F.col(f"g{k}") for k in range(1, len(tables) + 1)]

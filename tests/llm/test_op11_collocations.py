@@ -84,13 +84,33 @@ def test_empty_table(spark):
 def test_rare_words_are_cut_but_counted(spark):
     """Slots only ever keep too much: with every slot taken nothing is cut, and counts stay."""
     text = [b"the cat sat. the cat ran"]
-    all_, none = np.full(m.SLOTS // 8, 255, np.uint8), np.zeros(m.SLOTS // 8, np.uint8)
+    all_, none = np.full(m.BUCKETS * m.BITS // 8, 255, np.uint8), np.zeros(m.BUCKETS * m.BITS // 8, np.uint8)
     for table in (all_, none):
         assert sum(int(n.sum()) for _, n, _ in m.suffix_counts(text, "en", table, 4)) == 6
     kept = {s: int(c) for suffix, n, _ in m.suffix_counts(text, "en", all_, 4) for s, c in zip(suffix, n)}
     assert kept == {b"the cat sat ": 1, b"cat sat ": 1, b"sat ": 1, b"the cat ran ": 1, b"cat ran ": 1, b"ran ": 1}
 
 
+def test_every_frequent_word_and_pair_keeps_its_bit(spark):
+    rows = texts(7, 80)
+    docs = frame(spark, rows).selectExpr("coalesce(lang, 'und') as lang", "coalesce(text, '') as text")
+    table = m.often(docs, 5)
+    assert 0 < np.unpackbits(table).sum() < 500
+    f = {}
+    for lang in {"und" if g is None else g for g, _ in rows}:
+        x, words, h = m.words_of([(t or "").encode() for g, t in rows if (g or "und") == lang], lang)
+        word, pair = m._bits(table, m.word_keys(h)), {}
+        for k, n in enumerate(np.bincount(x, minlength=len(h))):
+            assert k == 0 or n < 5 or word[k]
+        for a, b in zip(x, x[1:]):
+            if a and b:
+                pair[a, b] = pair.get((a, b), 0) + 1
+        for (a, b), n in pair.items():
+            assert n < 5 or m._bits(table, m.pair_keys(h[[a]], h[[b]]))[0]
+            f[lang, a, b] = n
+    assert max(f.values()) >= 5
+
+
 def test_subtree_totals():
     rows = [(0, 2, "en", s, n) for s, n in [(b"a ", 1), (b"a b ", 2), (b"a b c ", 3), (b"a d ", 1)]]
     assert sorted(m.subtree(iter(rows), 3)) == [("en", 1, b"a", 7), ("en", 2, b"a b", 5), ("en", 3, b"a b c", 3)]
