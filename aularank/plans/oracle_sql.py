@@ -130,9 +130,20 @@ taken AS (
 )"""
 
 
-def neighbours_cte(n: int) -> str:
+# A few courses with most of the raters, beside every fourth course as it is.
+SKEWED = """
+skewed AS (
+  SELECT USUARIO_DOCUMENTO, max(rating) AS rating,
+    CASE WHEN CAST(ID_OFERTA_FORMATIVA AS BIGINT) % 4 = 0 THEN ID_OFERTA_FORMATIVA
+      ELSE 'f' || CAST((CAST(ID_OFERTA_FORMATIVA AS BIGINT) % 100) * (CAST(ID_OFERTA_FORMATIVA AS BIGINT) % 100)
+                       * (CAST(ID_OFERTA_FORMATIVA AS BIGINT) % 100) // 10000 AS VARCHAR) END AS ID_OFERTA_FORMATIVA
+  FROM ratings GROUP BY ALL
+)"""
+
+
+def neighbours_cte(n: int, source: str = "ratings") -> str:
     return f"""
-pos AS (SELECT * FROM ratings WHERE rating > 0),
+pos AS (SELECT * FROM {source} WHERE rating > 0),
 nrm AS (SELECT USUARIO_DOCUMENTO AS u, sum(rating * rating) AS n2 FROM pos GROUP BY 1),
 dots AS (
   SELECT a.USUARIO_DOCUMENTO AS u, b.USUARIO_DOCUMENTO AS v, sum(a.rating * b.rating) AS dot

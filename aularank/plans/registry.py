@@ -30,6 +30,9 @@ FALLBACK_PARAMS = RecommenderParams(min_score=1.01)
 # The fixture vectors are near-random, so the test thresholds of FIXTURES B2
 # (high .28, low .12, gap .03) are used to reach every routing branch.
 ROUTER = RouterParams(high=0.28, low=0.12, gap=0.03, block_rows=256)
+# Raters that make a course hot in the queries of the pruned similarity search; both leave hot courses at sf0.01.
+HOT_RATERS = 25
+SKEWED_RATERS = 100
 # Length of the activity report.
 TOP_USERS = 100
 
@@ -82,8 +85,22 @@ def q_user_neighbours(spark, sf):
 
 
 def q_user_neighbours_hot(spark, sf):
-    """The same result with every course of over 45 raters taken as hot: the class route serves real pairs."""
-    nb = user_neighbours(fe.rating_table(_enrol(spark, sf)), PARAMS.similar_users, hot_raters=45)
+    """The same result with every course of over 25 raters taken as hot: the pruned search serves most pairs."""
+    nb = user_neighbours(fe.rating_table(_enrol(spark, sf)), PARAMS.similar_users, hot_raters=HOT_RATERS)
+    return nb.select(USER, "neighbour", round_half_away(F.col("sim"), 9).alias("sim"), "rank")
+
+
+def skewed_ratings(spark, sf):
+    """Ratings with three of four courses folded into a hundred, the first of them rated by nearly every user."""
+    part = F.col(COURSE).cast("long")
+    k = part % 100
+    folded = F.when(part % 4 == 0, F.col(COURSE)).otherwise(F.concat(F.lit("f"), F.floor(k * k * k / 10000).cast("string")))
+    return fe.rating_table(_enrol(spark, sf)).groupBy(USER, folded.alias(COURSE)).agg(F.max("rating").alias("rating"))
+
+
+def q_user_neighbours_skewed(spark, sf):
+    """JN-1 where some courses have nearly all users: hot from 100 raters on."""
+    nb = user_neighbours(skewed_ratings(spark, sf), PARAMS.similar_users, hot_raters=SKEWED_RATERS)
     return nb.select(USER, "neighbour", round_half_away(F.col("sim"), 9).alias("sim"), "rank")
 
 
@@ -341,6 +358,7 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_enrolments": q_text_enrolments,
     "recommend_requests": q_recommend_requests,
     "user_neighbours_hot": q_user_neighbours_hot,
+    "user_neighbours_skewed": q_user_neighbours_skewed,
     "constraint_violations": q_constraint_violations,
     "cascade_delete": q_cascade_delete,
     "route_labelled": q_route_labelled,
@@ -423,6 +441,8 @@ SQL: dict[str, str] = {
     "context_text": O.with_(*O.routing_ctes(ROUTER), O.search_cte(ROUTER), O.CONTEXT)
     + " SELECT query_id, context, n_chunks FROM ctx",
     "answer_prompts": O.with_(*O.routing_ctes(ROUTER), O.search_cte(ROUTER), O.CONTEXT) + O.ANSWERS,
+    "user_neighbours_skewed": _W(O.ENROL, O.RATINGS, O.SKEWED, O.neighbours_cte(PARAMS.similar_users, "skewed"))
+    + " SELECT USUARIO_DOCUMENTO, neighbour, round(sim, 9) AS sim, rank FROM neighbours",
     "user_neighbours_hot": _W(O.ENROL, O.RATINGS, O.neighbours_cte(PARAMS.similar_users))
     + " SELECT USUARIO_DOCUMENTO, neighbour, round(sim, 9) AS sim, rank FROM neighbours",
     "score_popularity": _W(*_BASE, O.CANDIDATES) + f"""

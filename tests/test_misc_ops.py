@@ -9,6 +9,7 @@ from aularank.operators import features as fe
 from aularank.operators import logs as lg
 from aularank.operators import retrieval as rt
 from aularank.operators import scores as sc
+from aularank.operators import similarity
 from aularank.operators.similarity import user_neighbours
 from aularank.sources import enrolments as en
 
@@ -125,3 +126,63 @@ def test_sources_fall_back_in_order(spark, tmp_path):
         en.first_available([("table", lambda: en.read_table(spark, "no_such_table"))])
     with pytest.raises(ValueError, match="ORD"):
         en.clean_enrolments(spark.createDataFrame([("u", "c", "x", 1, 1, "n", 2024)], "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string, CURSO string, APROBACION int, ACTIVO int, NIVELNEXUS string, `AÑO` int"))
+
+
+def brute_neighbours(rows, n):
+    vec = {}
+    for u, c, r in rows:
+        if r > 0:
+            vec.setdefault(u, {})[c] = r
+    out = set()
+    for u, a in vec.items():
+        sims = []
+        for v, b in vec.items():
+            dot = sum(x * b.get(c, 0.0) for c, x in a.items())
+            if u != v and dot > 0:
+                sims.append((-dot / (np.sqrt(sum(x * x for x in a.values())) * np.sqrt(sum(x * x for x in b.values()))), v))
+        out |= {(u, v, rank) for rank, (_, v) in enumerate(sorted(sims)[:n], 1)}
+    return out
+
+
+def skewed_ratings(seed, users, courses):
+    """Course popularity falls steeply, so a few courses are rated by most users and hardly two users are alike."""
+    rng = random.Random(seed)
+    rows = {}
+    for u in range(users):
+        for _ in range(rng.randint(1, 12)):
+            rows[(f"u{u:03d}", f"c{int(courses * rng.random() ** 3):03d}")] = rng.choice([0.5, 1.0, 1.5, 2.0, 2.5])
+    return [(u, c, r) for (u, c), r in rows.items()]
+
+
+@pytest.mark.parametrize("seed, hot_raters, block", [(1, 3, 1024), (2, 10, 4), (3, 40, 16), (4, 0, 8)])
+def test_pruned_neighbours_equal_brute_force(spark, monkeypatch, seed, hot_raters, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    rows = skewed_ratings(seed, 150, 60)
+    df = spark.createDataFrame(rows, "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string, rating double")
+    got = {(r.USUARIO_DOCUMENTO, r.neighbour, r["rank"]) for r in user_neighbours(df, 5, hot_raters=hot_raters).collect()}
+    assert got == brute_neighbours(rows, 5)
+
+
+def test_one_course_of_all_users_makes_no_pairs_of_them_all(spark):
+    """Every user rates the hot course, classes are users, and still each asks for few of the others."""
+    rng = random.Random(6)
+    rows = []
+    for u in range(400):
+        rows.append((f"u{u:03d}", "hot", 0.5))
+        for k in range(6):
+            rows.append((f"u{u:03d}", f"g{u // 8}-{k}", rng.choice([1.5, 2.0, 2.5])))
+    df = spark.createDataFrame(rows, "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string, rating double")
+    got = {(r.USUARIO_DOCUMENTO, r.neighbour, r["rank"]) for r in user_neighbours(df, 5, hot_raters=20).collect()}
+    assert got == brute_neighbours(rows, 5)
+    n2 = {u: sum(r * r for v, _, r in rows if v == u) for u in {x[0] for x in rows}}
+    classes = spark.createDataFrame([(u, [(400, "hot", 0.5)], n2[u], 1, 0.9) for u in n2], "cls string, sig array<struct<raters long, course string, rating double>>, nrm2 double, size long, kth double")
+    assert similarity.hot_candidates(classes, 5).count() == 0  # all found among the cold pairs: nothing is asked
+    alone = classes.selectExpr("cls", "sig", "nrm2", "size", "0.0D as kth")
+    assert similarity.hot_candidates(alone, 5).count() < 0.1 * 400 * 400
+
+
+def test_equal_users_are_one_class(spark):
+    rows = [(f"u{u:03d}", "hot", 2.5) for u in range(300)] + [("x", "hot", 0.5), ("x", "z", 2.0)]
+    df = spark.createDataFrame(rows, "USUARIO_DOCUMENTO string, ID_OFERTA_FORMATIVA string, rating double")
+    got = {(r.USUARIO_DOCUMENTO, r.neighbour, r["rank"]) for r in user_neighbours(df, 5, hot_raters=2).collect()}
+    assert got == brute_neighbours(rows, 5)
