@@ -7,6 +7,7 @@ reports are DataFrame expressions (or temp views) over them.
 from __future__ import annotations
 
 import logging
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -201,20 +202,21 @@ def detail_rows(recs: DataFrame, interactions: DataFrame) -> DataFrame:
 
 
 def append_batch(df: DataFrame, path: str, batch_id: str, enabled: bool = True, strict: bool = True) -> bool:
-    """SNK-1/2/3, LOG-3: rows laid out by day and, where they have one, task; a re-run batch replaces its own rows.
+    """SNK-1/2, LOG-3: the rows of one table's batch, laid out by batch, day and, where they have one, task.
 
-    The batch id is the last partition column and the write replaces only the partitions that it touches (a writer
-    option, not a session setting), so a retried batch never duplicates rows.  Returns whether rows were written;
-    a failed write raises, or with ``strict`` off is logged and the job goes on (an answer is not lost with its log).
+    A re-run replaces the batch's whole folder, also where it has fewer rows or days, so a retried batch never
+    duplicates or leaves rows.  Two tables that must appear together go through ``commits.commit_batch``.  Returns whether
+    rows were written; a failed write raises, or with ``strict`` off is logged and the job goes on (an answer is not
+    lost with its log).
     """
     if not enabled:
         return False
-    keys = ["dia", *(["tarea_"] if "tarea" in df.columns else []), "batch_id"]
-    out = df.withColumn("dia", F.to_date("timestamp")).withColumn("batch_id", F.lit(batch_id))
+    keys = ["dia", *(["tarea_"] if "tarea" in df.columns else [])]
+    out = df.withColumn("dia", F.to_date("timestamp"))
     if "tarea" in df.columns:
         out = out.withColumn("tarea_", F.col("tarea"))
     try:
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*keys).parquet(f"{path}/batch_id={quote(batch_id, safe='')}")
     except Exception:
         if strict:
             raise

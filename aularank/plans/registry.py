@@ -6,12 +6,14 @@ them), over whole tables and whole texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aularank.functions.columns import round_half_away
+from aularank.operators import commits
 from aularank.operators import features as fe
 from aularank.operators import logs as lg
 from aularank.operators import prompts as pm
@@ -23,7 +25,8 @@ from aularank.params import RecommenderParams, RouterParams
 from aularank.plans import oracle_sql as O
 from aularank.plans import recommend as rp
 from aularank.sources import testdata
-from aularank.sources.enrolments import clean_enrolments
+from aularank.session import ensure_checkpoint_dir
+from aularank.sources.enrolments import clean_enrolments, read_files
 
 PARAMS = RecommenderParams()
 FALLBACK_PARAMS = RecommenderParams(min_score=1.01)
@@ -229,6 +232,39 @@ def q_daily_metrics(spark, sf):
     return lg.daily_metrics(testdata.interactions(spark, sf))
 
 
+def q_committed_history(spark, sf):
+    """SNK-3: the history of what was committed: a batch that ran again with half of its rows, one that ran once, and one
+    that stopped between the two tables."""
+    root = f"{ensure_checkpoint_dir(spark)}/log-store-{uuid.uuid4().hex}"
+    log, det = testdata.interactions(spark, sf), testdata.recommendation_details(spark, sf)
+
+    def batch(condition):
+        return log.where(condition), det.join(log.where(condition).select(F.col("id").alias("conversacion_id")), "conversacion_id", "left_semi").select(*det.columns)
+
+    commits.commit_batch(*batch("id % 4 = 0 or id % 4 = 2"), root, "b0")
+    commits.commit_batch(*batch("id % 4 = 0"), root, "b0")
+    commits.commit_batch(*batch("id % 4 = 1"), root, "b1")
+    commits.write_attempt(batch("id % 4 = 3")[0], root, commits.LOG, uuid.uuid4().hex)  # no details, no manifest row
+    seen = [commits.committed(spark, root, t, df.schema) for t, df in ((commits.LOG, log), (commits.DETAILS, det))]
+    h = lg.recommendation_history(*seen)
+    return h.withColumn("algoritmos_usados", F.array_join("algoritmos_usados", ","))
+
+
+def q_catalog_by_position(spark, sf):
+    """WIN-5 / SRC-2: the catalog of a folder of files without an order column; "first" is the first row of the files."""
+    path = f"{ensure_checkpoint_dir(spark)}/enrolments-{uuid.uuid4().hex}"
+    testdata.raw_enrolments(spark, sf).repartitionByRange("ORD").sortWithinPartitions("ORD").drop("ORD").write.parquet(path)
+    cat = fe.course_catalog(clean_enrolments(read_files(spark, path)))
+    return cat.select(*[round_half_away(F.col(c), 6).alias(c) if c in (
+        "CALIFICACION_PROM", "TASA_CULMINACION", "TASA_APROBACION", "CALIFICACION_NORM") else F.col(c) for c in cat.columns])
+
+
+def q_profile_by_key(spark, sf):
+    """WIN-5 / SRC-1: the profile of a table without an order column, under a declared key of its own."""
+    raw = testdata.raw_enrolments(spark, sf).withColumnRenamed("ORD", "line_key")
+    return fe.user_profile(clean_enrolments(raw, order_by=["line_key"]))
+
+
 def q_recommendation_history(spark, sf):
     h = lg.recommendation_history(testdata.interactions(spark, sf), testdata.recommendation_details(spark, sf))
     return h.withColumn("algoritmos_usados", F.array_join("algoritmos_usados", ","))
@@ -344,6 +380,9 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "response_text": q_response_text,
     "daily_metrics": q_daily_metrics,
     "recommendation_history": q_recommendation_history,
+    "committed_history": q_committed_history,
+    "catalog_by_position": q_catalog_by_position,
+    "profile_by_key": q_profile_by_key,
     "constraint_report": q_constraint_report,
     "route_candidates": q_route_candidates,
     "route_decision": q_route_decision,
@@ -481,3 +520,7 @@ SQL: dict[str, str] = {
    || CASE WHEN doc_id % 2 = 0 THEN ' Preguntas que responde: q' || doc_id || ' | r' ELSE '' END AS embed_text
  FROM documents WHERE doc_id % 3 <> 0""",
 }
+
+SQL["catalog_by_position"] = SQL["course_catalog"]
+SQL["profile_by_key"] = SQL["user_profile"]
+SQL["committed_history"] = SQL["recommendation_history"].replace("WHERE ca.tarea", "WHERE (ca.id % 4 = 0 OR ca.id % 4 = 1) AND ca.tarea")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aularank.fixed_values import (
@@ -50,13 +50,21 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict,
 
 
 def read_files(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Flat-file folder scan (SRC-2).  CSV is read as strings so coercion is exercised."""
+    """Flat-file folder scan (SRC-2).  CSV is read as strings so coercion is exercised.
+
+    Where the files have no order column, ``ORD`` tells where a row stands: its file, and its number in it (Parquet)
+    or its block and its place in the block.
+    """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true").option("inferSchema", "false")
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load(path)
+    df = reader.load(path)
+    if ORD.upper() in {c.strip().upper() for c in df.columns}:
+        return df
+    place = [F.col("_metadata.row_index")] if fmt == "parquet" else [F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), *[x.alias(f"r{i}") for i, x in enumerate(place)]).alias(ORD.upper()))
 
 
 def first_available(loaders: Sequence[tuple[str, Callable[[], DataFrame]]]) -> tuple[DataFrame, str]:
@@ -160,19 +168,31 @@ def composite_rating(done: str = "CURSO_CULMINADO", approved: str = "APROBACION"
     return round_half_away(clip(raw, 0.0, 5.0), 4)
 
 
-def clean_enrolments(raw: DataFrame, strict_projection: bool = False) -> DataFrame:
+def source_order(df: DataFrame, order_by: Sequence[str] | None) -> Column:
+    """WIN-5: what "first" means.  The declared key of the source, else its ``ORD`` column or the place in its files
+    (``read_files``), else (rows of a table have no order of their own) the rows' contents.
+    """
+    kinds = dict(df.dtypes)
+    if order_by:
+        return F.struct(*[F.col(c.strip().upper()) for c in order_by])
+    if ORD.upper() in kinds:
+        return F.col("ORD") if kinds["ORD"].startswith("struct") else F.col("ORD").cast("long")
+    return F.struct(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")])
+
+
+def clean_enrolments(raw: DataFrame, strict_projection: bool = False, order_by: Sequence[str] | None = None) -> DataFrame:
     """Normalise, validate, default and coerce a raw enrolment table.
 
-    Output: canonical typed columns + ``RATING_COMPUESTO`` + ``ord`` (source
-    order, from the source's own ``ORD`` column: "first" values must not depend on
-    how Spark happened to read or shuffle the rows).  Rows with a null user or course key are kept here (they
+    Output: canonical typed columns + ``RATING_COMPUESTO`` + ``ord`` (``source_order``: "first" values must not
+    depend on how Spark happened to read or shuffle the rows).  Rows with a null user or course key are kept here (they
     are dropped where grouped, Q6).
     """
-    df = require_and_default(select_canonical(apply_aliases(normalise_headers(raw)), strict_projection))
+    named = apply_aliases(normalise_headers(raw))
+    if order_by:  # the key need not be one of the projected columns
+        named = named.withColumn(ORD.upper(), source_order(named, order_by))
+    df = require_and_default(select_canonical(named, strict_projection))
     types = {f.name: f.dataType for f in df.schema.fields}
-    if ORD.upper() not in df.columns:
-        raise ValueError("a source order column ORD is required")
-    ordc = F.col("ORD").cast("long")
+    ordc = source_order(df, None)
     key = lambda c: F.trim(F.col(c).cast("string"))
     out = df.select(
         ordc.alias(ORD),
@@ -198,7 +218,7 @@ def clean_enrolments(raw: DataFrame, strict_projection: bool = False) -> DataFra
 
 
 def load_enrolments(spark: SparkSession, loaders: Sequence[tuple[str, Callable[[], DataFrame]]],
-                    strict_projection: bool = False) -> tuple[DataFrame, str]:
+                    strict_projection: bool = False, order_by: Sequence[str] | None = None) -> tuple[DataFrame, str]:
     """SRC-3 + cleaning: ``(clean enrolments, source name)``."""
     raw, source = first_available(loaders)
-    return clean_enrolments(raw, strict_projection), source
+    return clean_enrolments(raw, strict_projection, order_by), source
