@@ -261,3 +261,6 @@ RESPONSE_ITEM_SCORE = " \U0001f4ca Score: {score}\n\n"
 TEACHER_CONTEXT = "Nivel educativo: {nivel}. DRE: {dre}. Ha completado {n_cul} de {n_tot} cursos (tasa personal: {tasa}%). "
 TEACHER_AGE = "Edad aprox: {edad} años. "
 RATING_TEXT = "{cal}/5.0"
+
+# Novelty of a course by its age in years (newest, one, two, older).
+NOVELTY_VALUES = (1.0, 0.6, 0.3, 0.1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aularank.fixed_values import NOVELTY_VALUES
 from aularank.functions.columns import clip_nn, round_half_away, safe_ratio
 
 USER = "USUARIO_DOCUMENTO"
@@ -62,7 +63,7 @@ def course_catalog(enrol: DataFrame) -> DataFrame:
         agg.crossJoin(newest)
         .withColumn(
             "SCORE_NOVEDAD",
-            F.when(age == 0, 1.0).when(age == 1, 0.6).when(age == 2, 0.3).otherwise(0.1),
+            F.when(age == 0, NOVELTY_VALUES[0]).when(age == 1, NOVELTY_VALUES[1]).when(age == 2, NOVELTY_VALUES[2]).otherwise(NOVELTY_VALUES[3]),
         )
         .drop("_newest")
     )
