@@ -88,6 +88,18 @@ def cut_packed(df: DataFrame) -> DataFrame:
     return cut(df.mapInArrow(pack, "body binary")).mapInArrow(open_, schema)
 
 
+def free_names(carry: list[str], taken: list[str]) -> list[str]:
+    """The ``carry`` names; one that is among ``taken`` gets leading underscores until no other column has it."""
+    held, out = {*taken, *carry}, []
+    for n in carry:
+        new = n
+        while new in taken or (new != n and new in held):
+            new = f"_{new}"
+        held.add(new)
+        out.append(new)
+    return out
+
+
 def row_hash(df: DataFrame, columns: list[str] | None = None):
     """A 64-bit hash of a whole row, nulls told from empty strings."""
     names = columns or df.columns

@@ -91,9 +91,10 @@ def pack(docs: DataFrame, length, cluster, params: PackingParams = PackingParams
     Ties in length go by cluster, doc_id and source.  An empty table gives an empty one; other columns are not read.
     """
     rows = cut(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
-                           cluster.cast("long").alias("cluster"), F.greatest(F.coalesce(length.cast("long"), F.lit(1)), F.lit(1)).alias("n")))
+                           cluster.cast("long").alias("cluster"), F.greatest(F.coalesce(length.cast("long"), F.lit(1)), F.lit(1)).alias("n"),
+                           F.monotonically_increasing_id().alias("rid")))
     groups = max(1, math.ceil(rows.count() / params.group_rows))
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster", "source"), F.lit(groups)))
+    rows = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster", "source", "rid"), F.lit(groups))).drop("rid")  # equal rows are dealt apart too
     capacity = params.capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aularank.llm.common import slices, utf8
+from aularank.llm.common import free_names, slices, utf8
 
 BITS = 18
 #: Tokens of a block: a block's steps run one after another, all blocks side by side.
@@ -326,14 +326,7 @@ def judge(docs: DataFrame, model: ToxicModel, fold_mod: int = ToxicParams.fold_m
     name of a result column gets leading underscores until its name is free; an empty table gives an empty one.
     """
     carry = docs.columns if carry is None else carry
-    taken = {f.name for f in RESULT} | set(carry)
-    names = []
-    for n in carry:
-        new = n
-        while new in {f.name for f in RESULT} or (new != n and new in taken):
-            new = f"_{new}"
-        taken.add(new)
-        names.append(new)
+    names = free_names(carry, [f.name for f in RESULT])
     fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % fold_mod == 0)
     inner = [f"c{k}" for k in range(len(carry))]
     source = docs.select(*[F.col(f"`{n}`").alias(m) for n, m in zip(carry, inner)], fold.alias("fold"), F.col("text").cast("string").alias("body"))

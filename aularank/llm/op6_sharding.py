@@ -63,12 +63,13 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     """(doc_id, size, text_crc32, n_tokens, shard, slot) for every row.
 
     size: UTF-8 bytes plus 16; a null text counts as an empty one.  slot numbers a shard's rows from 0 without
-    gaps, ties (repeated rows) in any order.  Rows with equal doc_id and text travel together; other columns are not
-    read; an empty table gives an empty one.
+    gaps, ties (repeated rows) in any order.  Rows of equal text travel together, unless there are so many that they are
+    dealt apart by a row number (fixed by a checkpoint), equal rows too; other columns are not read; an empty table gives an empty one.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = cut(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-                           F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_tokens"), F.xxhash64(body).alias("group")))
+                           F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_tokens"), F.xxhash64(body).alias("group"),
+                           F.monotonically_increasing_id().alias("rid")))
     spark, cells = docs.sparkSession, shards * CELLS_PER_SHARD
     total = rows.agg(F.count("*").alias("rows"), F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens")).first()
     schema = "doc_id long, size long, text_crc32 long, n_tokens long, shard int, slot long"
@@ -81,8 +82,8 @@ def shard(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str =
     hot = sums.where(share > SPLIT_SHARE / shards).select(*key, F.ceil(share * (2 * shards / SPLIT_SHARE)).cast("long").alias("pieces"))
     rows = rows.join(F.broadcast(hot), key, "left")
     own = F.pmod(F.xxhash64("group", "text_crc32", "size"), F.lit(cells))
-    piece = F.lit(cells) + F.pmod(F.xxhash64("group", "text_crc32", "size"), F.lit(1 << 40)) * PIECES + F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
-    rows = cut(rows.withColumn("cell", F.when(F.col("pieces").isNull(), own).otherwise(piece)).drop("pieces", "group"))
+    piece = F.lit(cells) + F.pmod(F.xxhash64("group", "text_crc32", "size"), F.lit(1 << 40)) * PIECES + F.pmod(F.xxhash64("rid"), F.col("pieces"))
+    rows = cut(rows.withColumn("cell", F.when(F.col("pieces").isNull(), own).otherwise(piece)).drop("pieces", "group", "rid"))
     held = rows.groupBy("cell").agg(F.sum("size").alias("b"), F.sum("n_tokens").alias("t"), F.count("*").alias("n")).orderBy("cell").collect()  # a row a cell
     vectors = np.array([[r["b"], r["t"], r["n"]] for r in held], float)
     _, unit = np.unique(units(np.array([r["cell"] for r in held]), vectors, cells, shards), return_inverse=True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aularank.llm.common import slices, utf8
+from aularank.llm.common import free_names, slices, utf8
 
 #: Hashed feature space: words (and word pairs) in the lower half, character 4-grams in the upper half.
 BITS = 17
@@ -209,12 +209,12 @@ def judge(docs: DataFrame, model: QualityModel, text: str = "text", carry: list[
     """The ``carry`` columns (all by default) of every row, and the columns of ``COLUMNS``.
 
     A null or empty text has no words, so it fails the base rules; very long texts are counted whole; repeated
-    rows are judged row by row; a carried column with the name of a result column keeps its place under a
-    leading underscore; an empty table gives an empty one.
+    rows are judged row by row; a carried column with the name of a result column keeps its place under
+    leading underscores, as many as make its name free; an empty table gives an empty one.
     """
     carry = docs.columns if carry is None else carry
-    taken = {n for n, _ in COLUMNS}
-    inner = [f"_{n}" if n in taken else n for n in carry]
+    names = free_names(carry, [n for n, _ in COLUMNS])
+    inner = [f"c{k}" for k in range(len(carry))]
     source = docs.select(*[F.col(f"`{n}`").alias(m) for n, m in zip(carry, inner)], F.col(f"`{text}`").cast("string").alias("text__"))
     cell = docs.sparkSession.sparkContext.broadcast(astuple(model))  # 2**BITS float32 at most
 
@@ -235,7 +235,8 @@ def judge(docs: DataFrame, model: QualityModel, text: str = "text", carry: list[
 
     fields = [T.StructField(f.name, f.dataType) for f in source.schema.fields[:-1]]
     schema = T.StructType(fields + [T.StructField(n, {"long": T.LongType(), "boolean": T.BooleanType(), "double": T.DoubleType()}[k]) for n, k in COLUMNS])
-    return source.mapInArrow(run, schema)
+    done = source.mapInArrow(run, schema)
+    return done.select(*[F.col(i).alias(n) for i, n in zip(inner, names)], *[n for n, _ in COLUMNS])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), carry: list[str] | None = None) -> DataFrame:

@@ -75,10 +75,14 @@ class ItemIndex:
             for h in sorted(xxhash.xxh64_intdigest(x, 42) for x in own)[:k]:
                 self.index.setdefault(h, []).append(at)
         self.keys = self.index.keys()
+        #: Lengths of the items that are shorter than a shingle: those are looked up among the text's runs of that length.
+        self.short = sorted({n for own in self.sets if len(own) == 1 for x in own if (n := x.count(b" ") + 1) < p.shingle})
 
     def find(self, data: bytes) -> list[tuple]:
         """(item_id, shingles, found) of all items of which the text holds enough."""
         own = set(shingles(data, self.p.shingle))
+        for n in self.short:
+            own.update(shingles(data, n))
         digest = xxhash.xxh64_intdigest
         hits = self.keys & {digest(x, 42) for x in own} if own else ()
         out = []
@@ -119,7 +123,7 @@ def with_hits(docs: DataFrame, items: DataFrame, params: DecontaminateParams = D
     """The ``carry`` columns (all by default) of every row and ``hits__``: the items that the text holds.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; shingles are distinct runs of five
-    words, with fewer words the whole sequence, so a very short item meets only texts equal to it.  Null and empty
+    words; an item of fewer words is one run of its own length, found wherever a text holds it.  Null and empty
     texts and items have no shingles and meet nothing.  Equal items count once under their smallest item_id; rows
     are judged one by one, repeated or not; long texts whole; empty tables give empty results.  Carried columns keep
     their names.  With ``clean_only``, the rows that hold no item, without ``hits__``.

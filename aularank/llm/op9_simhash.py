@@ -283,7 +283,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id: str =
     distinct = cut(rows.groupBy("fp").agg(F.min(order).alias("first")))
     tree = components(links(distinct.select("fp"), distance))
     placed = distinct.join(tree.select(F.col("u").alias("fp"), "m"), "fp", "left").withColumn("m", F.coalesce("m", "fp"))
-    key = ["id__", "row__"]
-    keep = placed.groupBy("m").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("id__"), F.col("first.row").alias("row__"))
-    marked = docs.withColumns({"id__": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)), "row__": row_hash(docs)})
-    return marked.join(keep.distinct(), key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{n}`") for n in docs.columns])
+    key = ["id", "row"]
+    keep = placed.groupBy("m").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("id"), F.col("first.row").alias("row"))
+    own = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    marked = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(docs.columns, own)],
+                         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-1)).alias("id"), row_hash(docs).alias("row"))
+    return marked.join(keep.distinct(), key, "left_semi").dropDuplicates(key).select(*[F.col(c).alias(n) for n, c in zip(docs.columns, own)])

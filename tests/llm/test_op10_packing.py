@@ -68,3 +68,17 @@ def test_rows(spark, docs_of):
 def test_lengths_below_one(spark, docs_of):
     got = P.pack(docs_of([(1, "a"), (2, "b")]), F.lit(None), F.lit(None)).collect()
     assert [r["length"] for r in got] == [1, 1] and len({r["bin"] for r in got}) == 2  # one source
+
+
+def test_equal_rows_do_not_meet_in_one_group(spark, docs_of):
+    docs = docs_of([(7, "one and the same row", "s")] * 1500 + [(100 + i, f"text {i}", f"s{i % 40}") for i in range(1500)])
+    packed = P.pack_documents(docs, P.PackingParams(group_rows=200))
+    assert packed.count() == 3000
+    sizes = [r["n"] for r in packed.groupBy(F.shiftright("bin", 32).alias("g")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * 200
+    assert packed.where("doc_id = 7").groupBy("bin").count().agg(F.max("count")).first()[0] == 1  # copies never share a bin
+
+
+def test_a_very_long_text_is_packed_whole(spark, docs_of):
+    got = P.pack_documents(docs_of([(1, "w " * 300_000), (2, "x")])).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == 300_001

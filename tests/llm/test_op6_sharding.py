@@ -41,3 +41,17 @@ def test_place_takes_the_highest_dot_product():
 def test_empty(spark, docs_of):
     assert op6_sharding.shard(docs_of([(1, "a")]).limit(0)).count() == 0
     assert op6_sharding.shard(docs_of([(1, "a")])).first()["slot"] == 0
+
+
+def test_equal_rows_are_dealt_apart(spark, docs_of):
+    """Half of all rows are one identical row: shards still have equal sizes, also with a very long text among them."""
+    rows = [(7, "one and the same row")] * 1500 + [(100 + i, f"text {i}") for i in range(1500)]
+    got = op6_sharding.shard(docs_of(rows), shards=10).collect()
+    size, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 3000 and max(size.values()) < 1.1 * min(size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    long = op6_sharding.shard(docs_of([(1, "w " * 500_000), (2, "x")]), shards=2).collect()
+    assert sorted((r["doc_id"], r["size"], r["n_tokens"]) for r in long) == [(1, 1_000_016, 500_000), (2, 17, 1)]

@@ -51,3 +51,19 @@ def test_no_labels(spark, docs_of):
     got = Q.quality_rules(docs_of([(1, make(rng, True)), (2, "few")]), empty).collect()
     assert {r["doc_id"]: r["kept"] for r in got} == {1: True, 2: False}
     assert Q.quality_rules(docs_of([(1, "x")]).limit(0), empty).count() == 0
+
+
+def test_any_column_names_are_kept(spark):
+    rows = [(1, "word " * 60, "a", "b", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, _kept string, text__ int, n_words int, c0 int")
+    judged = Q.judge(docs, Q.QualityModel(None, 0.0, 1.0, 0.0, 0.25))
+    assert judged.columns[:7] == ["doc_id", "text", "__kept", "_kept", "text__", "_n_words", "c0"]
+    r = judged.first()
+    assert (r["__kept"], r["_kept"], r["text__"], r["_n_words"], r["c0"]) == ("a", "b", 5, 6, 7)
+    assert r["n_words"] == 60 and r["kept"] is False  # its three-word windows repeat
+
+
+def test_a_very_long_text_is_counted_whole(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200_000)))], "doc_id long, text string")
+    r = Q.judge(docs, Q.QualityModel(None, 0.0, 1.0, 0.0, 0.25)).first()
+    assert (r["n_words"], r["n_repeat_words"], r["kept"]) == (200_000, 0, True)

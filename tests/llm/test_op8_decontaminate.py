@@ -10,6 +10,13 @@ def shingles(text):
     return set() if not words else {" ".join(words)} if len(words) <= 5 else {" ".join(words[i: i + 5]) for i in range(len(words) - 4)}
 
 
+def held(text, item):
+    """Shingles of the item that the text holds; an item below five words is a run of its own length."""
+    words = re.findall("[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    n = len(next(iter(item)).split()) if len(item) == 1 else 5
+    return item & (shingles(text) | {" ".join(words[i: i + n]) for i in range(len(words) - n + 1)})
+
+
 def key(i):
     return -1 if i is None else i
 
@@ -35,8 +42,8 @@ def test_all_contained_items_are_found(spark, docs_of):
     for j, x in items:
         if x is not None:
             ids[x] = min(ids.get(x, j), j)
-    want = sorted((key(i), ids[x], len(shingles(x)), len(shingles(x) & shingles(t))) for i, t in docs for x in ids
-                  if shingles(x) and len(shingles(x) & shingles(t)) >= math.ceil(0.8 * len(shingles(x)) - 1e-9))
+    want = sorted((key(i), ids[x], len(shingles(x)), len(held(t, shingles(x)))) for i, t in docs for x in ids
+                  if shingles(x) and len(held(t, shingles(x))) >= math.ceil(0.8 * len(shingles(x)) - 1e-9))
     for p in (D.DecontaminateParams(), D.DecontaminateParams(block_bytes=2000)):
         got = sorted((key(r["doc_id"]), r["item_id"], r["n_shingles"], r["n_found"]) for r in D.contaminated(docs_of(docs), table, p).collect())
         assert got == want and len(want) > 20
@@ -51,3 +58,11 @@ def test_empty_tables(spark, docs_of):
     assert D.contaminated(docs_of([(1, "a b c d e f")]), none).count() == 0
     assert D.decontaminate(docs_of([(1, "a b c d e f")]), none).count() == 1
     assert D.decontaminate(docs_of([(1, "a")]).limit(0), none).count() == 0
+
+
+def test_short_items_are_found_inside_long_documents(spark, docs_of):
+    items = spark.createDataFrame([(1, "Blue whale song"), (2, "whale"), (3, "song of the sea"), (4, "five words in a row")], "item_id long, text string")
+    docs = docs_of([(1, "we heard a blue, WHALE song by night"), (2, "blue whale"), (3, "a songof the sea"), (4, "x " * 50_000 + "song of the sea"), (5, "five words in a")])
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, items).collect()}
+    assert got == {(1, 1), (1, 2), (2, 2), (4, 3)}
+    assert {r["doc_id"] for r in D.decontaminate(docs, items).collect()} == {3, 5}

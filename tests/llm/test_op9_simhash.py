@@ -104,3 +104,8 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(None, 3), (5, 5), (100, 101), (101, 100)], "a long, b long")
     got = {r["u"]: r["m"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_keep_one_keeps_any_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "keepme", "x", 1), (2, "a b c d e f", "other", "y", 2)], "doc_id long, text string, row__ string, id__ string, row int")
+    assert [tuple(r) for r in S.keep_one(docs).collect()] == [(1, "a b c d e f", "keepme", "x", 1)]
