@@ -20,9 +20,8 @@ MAX_DISTANCE = 4
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep."""
-    judged = op7_quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    names = [f"_{c}" if c in dict(op7_quality.COLUMNS) else c for c in docs.columns]
-    return judged.where("kept").select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)])
+    judged = op7_quality.quality_rules(docs, table(spark, sf_dir, "labels"))  # the documents' columns come first
+    return judged.where("kept").select(*[F.col(f"`{n}`").alias(c) for n, c in zip(judged.columns, docs.columns)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
