@@ -16,14 +16,18 @@ work is ``k`` rows per user plus one row per taken item, never users x items.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def segment_positions(df: DataFrame, seg_cols: Sequence[str], order: Sequence[Column],
-                      name: str = "pos", partitions: int | None = None) -> DataFrame:
-    """Consecutive 1-based position per segment; ``order`` must be a total order."""
+                      name: str = "pos", partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """Consecutive 1-based position per segment; ``order`` must be a total order.
+
+    With ``weight`` (an integer column) the running sum of that column, the row itself included, takes the place of the position.
+    """
     from aularank.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
@@ -36,9 +40,12 @@ def segment_positions(df: DataFrame, seg_cols: Sequence[str], order: Sequence[Co
     ranged = (df.repartitionByRange(partitions, *seg, *order) if partitions
               else df.repartitionByRange(*seg, *order))
     ranged = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
-    local = ranged.withColumn(
-        "_lpos", F.row_number().over(Window.partitionBy("_pid", *seg_cols).orderBy(*order)))
-    counts = local.groupBy("_pid", *seg_cols).agg(F.max("_lpos").alias("_cnt"))
+    w = Window.partitionBy("_pid", *seg_cols).orderBy(*order)
+    so_far = F.row_number().over(w) if weight is None else F.sum(weight).over(
+        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranged.withColumn("_lpos", so_far)
+    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = ranged.groupBy("_pid", *seg_cols).agg(total.alias("_cnt"))
     before = Window.partitionBy(*seg_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *seg_cols, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     cols = [c for c in df.columns]
@@ -88,3 +95,32 @@ def first_untaken(users: DataFrame, ranking: DataFrame, taken: DataFrame, k: int
     w = Window.partitionBy(user).orderBy(F.col(pos))
     first = free.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= F.col("_k")).drop("_k")
     return _salted(first, user, salts).join(_copies(ranking, salts), [*seg, pos, "_salt"]).drop("_salt")
+
+
+def beaten_by(rows: DataFrame, seg_cols: Sequence[str], item: str, lo: str, hi: str, name: str = "beaten") -> DataFrame:
+    """Adds how many items of the segment come before the item whatever the exact scores are.
+
+    A row's exact score differs from user to user but lies in ``[lo, hi]``; order: score desc, ``item`` asc.  Item a
+    surely comes before b where ``a.lo > b.hi``, or they are equal and ``a < b``.  So b is among the first ``k`` of some
+    user only if ``beaten < k``.
+    """
+    ends = reduce(DataFrame.unionByName, [
+        rows.withColumn("_v", F.col(lo)).withColumn("_w", F.lit(1)),
+        rows.withColumn("_v", F.col(hi)).withColumn("_w", F.lit(0))])
+    counted = segment_positions(ends, seg_cols, [F.col("_v").desc(), F.col(item).asc(), F.col("_w").asc()], name, weight="_w")
+    return counted.where(F.col("_w") == 0).drop("_v", "_w")
+
+
+def possible_firsts(users: DataFrame, rows: DataFrame, seg_cols: Sequence[str], user: str, beaten: str = "beaten",
+                    salts: int = SALTS) -> DataFrame:
+    """Every row of the user's segment that can be among the user's first ``_k`` (``beaten < _k``).
+
+    Rows are filed by the power of two of ``beaten + 1``, and a user asks only for the powers up to the own ``_k``: what
+    is joined for a user depends on that user's number, not on the largest of the segment.
+    """
+    power = lambda n: F.floor(F.log2(n.cast("double") + F.lit(0.5))).cast("int")
+    seg = list(seg_cols)
+    asked = users.where(F.col("_k") >= 1).withColumn("_power", F.explode(F.sequence(F.lit(0), power(F.col("_k")))))
+    filed = _copies(rows.withColumn("_power", power(F.col(beaten) + 1)), salts)
+    return _salted(asked, user, salts).join(filed, [*seg, "_power", "_salt"]) \
+        .where(F.col(beaten) < F.col("_k")).drop("_power", "_salt")
