@@ -153,9 +153,34 @@ def last_sentence_trim(col: Column) -> Column:
     )
 
 
+# The well-formed byte sequences of UTF-8 (Unicode standard, table 3-7), one character per byte.
+UTF8_SEQUENCES = (
+    r"[\x00-\x7F]+"
+    r"|[\xC2-\xDF][\x80-\xBF]"
+    r"|\xE0[\xA0-\xBF][\x80-\xBF]"
+    r"|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}"
+    r"|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}"
+    r"|[\xF1-\xF3][\x80-\xBF]{3}"
+    r"|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
+
+
+def text_from_bytes(col: Column) -> Column:
+    """SCL-13: the text of a binary column without the bytes that are not UTF-8 (surrogates too); null: empty.
+
+    Bytes are read as one character each, every byte outside a well-formed sequence is taken out, and what is left
+    is read as UTF-8; a replacement character that the text itself holds stays.
+    """
+    one_each = F.decode(F.coalesce(col, F.lit(b"")), "ISO-8859-1")
+    clean = F.regexp_replace(one_each, f"({UTF8_SEQUENCES})|[\\x80-\\xFF]", "$1")
+    return F.decode(F.encode(clean, "ISO-8859-1"), "UTF-8")
+
+
 def text_sanitise(col: Column) -> Column:
-    """Null -> empty string; Spark strings are already valid UTF-8 (SCL-13)."""
-    return F.coalesce(col.cast("string"), F.lit(""))
+    """SCL-13: null -> empty string, and bytes that are not UTF-8 dropped (a text read from files or cast from binary may hold some)."""
+    text = F.coalesce(col.cast("string"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(text_from_bytes(text.cast("binary")))
 
 
 def json_field(col: Column, field: str, default=None) -> Column:

@@ -106,40 +106,75 @@ def flatten_tree(trees: DataFrame) -> DataFrame:
 
 # ---- VEC-1: encoder hook -------------------------------------------------------
 
-def embed(df: DataFrame, text_col: str, prefix: str = QUERY_PREFIX, encoder=None, dim: int = 256) -> DataFrame:
+#: Words of the built-in encoder: runs of letters and digits.
+WORD_PATTERN = r"[\p{L}\p{N}]+"
+
+
+def _counting(dim: int) -> list:
+    """Stages from ``_t`` (text) to ``_tf``: how often each of ``dim`` buckets is met; a word's bucket follows from its digest alone."""
+    from pyspark.ml.feature import CountVectorizerModel, SQLTransformer
+
+    pattern = WORD_PATTERN.replace("\\", "\\\\")
+    words = SQLTransformer(statement=(
+        f"SELECT *, transform(regexp_extract_all(lower(_t), '{pattern}', 0), "
+        f"w -> CAST(CAST(conv(substr(md5(w), 1, 7), 16, 10) AS BIGINT) % {dim} AS STRING)) AS _w FROM __THIS__"))
+    return [words, CountVectorizerModel.from_vocabulary([str(b) for b in range(dim)], inputCol="_w", outputCol="_tf")]
+
+
+def _prefixed(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    return df.withColumn("_t", F.concat(F.lit(prefix), F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def fit_encoder(passages: DataFrame, text_col: str, prefix: str = PASSAGE_PREFIX, dim: int = 256):
+    """VEC-1: a ``PipelineModel`` with the inverse document frequencies of ``passages`` (null text: empty).
+
+    Fit once on the passages, store it (``plans.publish.publish_encoder``) and pass it to every ``embed``, so that
+    passages and queries lie in one space.  It holds ``dim`` weights, however many passages there are; without any passage
+    it counts words and weighs nothing.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import IDF
+
+    if passages.isEmpty():
+        return PipelineModel(_counting(dim))
+    stages = [*_counting(dim), IDF(inputCol="_tf", outputCol="_idf")]
+    return Pipeline(stages=stages).fit(_prefixed(passages.select(text_col), text_col, prefix))
+
+
+def embed(df: DataFrame, text_col: str, prefix: str = QUERY_PREFIX, encoder=None, dim: int = 256, model=None) -> DataFrame:
     """VEC-1 / UDF-2: add a unit-length ``embedding`` for ``prefix + text`` (``PASSAGE_PREFIX`` for nodes).
 
     ``encoder``: optional function without arguments that loads a model once per task and returns a callable
     ``pandas.Series[str] -> pandas.Series[list]``; it runs as an iterator pandas UDF.
-    Default: hashed term frequencies times inverse document frequencies (Spark ML), normalised to unit length.
+    ``model``: what ``fit_encoder`` returned: word counts times (1 + inverse document frequency), scaled to unit length.
+    With neither, plain word counts in ``dim`` buckets.  Nothing is fitted here: a text has one vector in whatever table it stands.
     """
-    text = F.concat(F.lit(prefix), F.coalesce(F.col(text_col), F.lit("")))
     if encoder is not None:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = encoder()
+            loaded = encoder()
             for batch in batches:
-                yield model(batch)
+                yield loaded(batch)
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        text = F.concat(F.lit(prefix), F.coalesce(F.col(text_col), F.lit("")))
         return df.withColumn("embedding", F.pandas_udf(run, T.ArrayType(T.FloatType()))(text))
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
 
-    tmp = df.withColumn("_t", text)
-    tok = RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+", toLowercase=True).transform(tmp)
-    tf = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim).transform(tok)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tf).transform(tf)
-    # tf * (1 + idf): a word that every text has still counts, so no text is a zero vector.
-    both = idf.withColumn("_v", F.zip_with(vector_to_array("_tf"), vector_to_array("_idf"), lambda a, b: a + b))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda t, x: t + x * x))
-    unit = both.withColumn("_n", norm).withColumn(
-        "embedding", F.transform("_v", lambda x: (x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).cast("float")))
-    return unit.drop("_t", "_w", "_tf", "_idf", "_v", "_n")
+    out = (PipelineModel(_counting(dim)) if model is None else model).transform(_prefixed(df, text_col, prefix))
+    # tf * (1 + idf): a word that every text has still counts, so a text with words is no zero vector.
+    both = vector_to_array("_tf")
+    if "_idf" in out.columns:
+        both = F.zip_with(both, vector_to_array("_idf"), lambda a, b: a + b)
+    out = out.withColumn("_v", both)
+    out = out.withColumn("_n", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda t, x: t + x * x)))
+    unit = F.transform("_v", lambda x: (x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).cast("float"))
+    return out.withColumn("embedding", unit).drop("_t", "_w", "_tf", "_idf", "_v", "_n")
 
 
-def node_index(trees: DataFrame, encoder=None, dim: int = 256) -> DataFrame:
+def node_index(trees: DataFrame, encoder=None, dim: int = 256, model=None) -> DataFrame:
     """TRE-1/2, VEC-1: the tree's nodes with the embedding of their text."""
-    return embed(flatten_tree(trees), "embed_text", PASSAGE_PREFIX, encoder, dim)
+    return embed(flatten_tree(trees), "embed_text", PASSAGE_PREFIX, encoder, dim, model)
 
 
 # ---- VEC-3 / VEC-4 / VEC-5: routing ---------------------------------------------

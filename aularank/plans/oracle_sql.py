@@ -627,3 +627,22 @@ SELECT u.USUARIO_DOCUMENTO,
   CAST(coalesce(b.total, 0) AS INTEGER) AS total, coalesce(m.algoritmos, '') AS algoritmos,
   CAST(coalesce(b.tokens_salida, 0) AS BIGINT) AS tokens_salida
 FROM users u LEFT JOIN blocks b USING (USUARIO_DOCUMENTO) LEFT JOIN meth m USING (USUARIO_DOCUMENTO)"""
+
+SEARCH_TEXTS = r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, 'passage: ' || coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT 'q', item_id, 'query: ' || coalesce(text, '') FROM benchmark
+),
+words AS (SELECT side, id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM texts),
+tf AS (SELECT side, id, ('0x' || substr(md5(w), 1, 7))::BIGINT % 256 AS b, count(*) AS n FROM words GROUP BY ALL),
+df AS (SELECT b, count(*) AS n FROM tf WHERE side = 'd' GROUP BY b),
+idf AS (SELECT r.b, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (coalesce(df.n, 0) + 1)) AS x FROM range(256) r(b) LEFT JOIN df USING (b)),
+raw AS (SELECT side, id, b, tf.n + tf.n * idf.x AS v FROM tf JOIN idf USING (b)),
+unit AS (SELECT side, id, b, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS FLOAT) AS v FROM raw),
+hit AS (
+  SELECT q.id AS item_id, d.id AS doc_id, sum(q.v::DOUBLE * d.v::DOUBLE) AS score
+  FROM unit q JOIN unit d ON q.b = d.b AND q.side = 'q' AND d.side = 'd' GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, round(score, 6) AS score
+FROM hit QUALIFY rank <= 3
+"""

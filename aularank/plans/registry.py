@@ -22,7 +22,9 @@ from aularank.operators import scores as sc
 from aularank.operators.features import COURSE, USER
 from aularank.operators.similarity import user_neighbours
 from aularank.params import RecommenderParams, RouterParams
+from aularank.operators.vectors import top_k_dot
 from aularank.plans import oracle_sql as O
+from aularank.plans import publish as pb
 from aularank.plans import recommend as rp
 from aularank.sources import testdata
 from aularank.session import ensure_checkpoint_dir
@@ -336,6 +338,23 @@ def q_node_index(spark, sf):
         "knowledge_base", "name", "path", F.array_join("keywords", ",").alias("keywords"), "embed_text")
 
 
+def q_search_texts(spark, sf):
+    """VEC-1 / UDF-2 from texts alone: an encoder fitted on the passages, stored, loaded for passages and questions.
+
+    The three best documents of each benchmark item by their scores (copies of a document tie, so ids are left out).
+    """
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/encoder-{uuid.uuid4().hex}"
+    docs, items = testdata.table(spark, sf, "documents"), testdata.table(spark, sf, "benchmark")
+    pb.publish_encoder(spark, rt.fit_encoder(docs, "text"), base, 1)
+    model = pb.load_encoder(spark, base)
+    passages = rt.embed(docs.select("doc_id", "text"), "text", rt.PASSAGE_PREFIX, model=model)
+    questions = rt.embed(items.select("item_id", "text"), "text", model=model)
+    hits = top_k_dot(questions.select(F.col("item_id").alias("id"), F.lit("").alias("group"), F.col("embedding").alias("vec")),
+                     passages.select(F.col("doc_id").alias("id"), F.lit("").alias("group"), F.col("embedding").alias("vec")), 3)
+    return hits.select(F.col("left_id").alias("item_id"), "rank", round_half_away(F.col("score"), 6).alias("score"))
+
+
 def _search(spark, sf):
     qs, _, _, dec = _routing(spark, sf)
     return qs, dec, rt.search_chunks(dec, qs, testdata.chunks(spark, sf), ROUTER)
@@ -404,6 +423,7 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_with_fallback": q_search_with_fallback,
     "search_general": q_search_general,
     "node_index": q_node_index,
+    "search_texts": q_search_texts,
 }
 
 _W = O.with_
@@ -521,6 +541,7 @@ SQL: dict[str, str] = {
  FROM documents WHERE doc_id % 3 <> 0""",
 }
 
+SQL["search_texts"] = O.SEARCH_TEXTS
 SQL["catalog_by_position"] = SQL["course_catalog"]
 SQL["profile_by_key"] = SQL["user_profile"]
 SQL["committed_history"] = SQL["recommendation_history"].replace("WHERE ca.tarea", "WHERE (ca.id % 4 = 0 OR ca.id % 4 = 1) AND ca.tarea")
