@@ -120,6 +120,8 @@ def possible_firsts(users: DataFrame, rows: DataFrame, seg_cols: Sequence[str],
     """
     power = lambda n: F.floor(F.log2(n.cast("double") + F.lit(0.5))).cast("int")
     seg = list(seg_cols)
+    most = users.groupBy(*seg).agg(F.max("_k").alias("_most"))
+    rows = rows.join(most, seg).where(F.col(beaten) < F.col("_most")).drop("_most")  # only these are copied
     asked = users.where(F.col("_k") >= 1).withColumn("_power", F.explode(F.sequence(F.lit(0), power(F.col("_k")))))
     filed = _copies(rows.withColumn("_power", power(F.col(beaten) + 1)), salts)
     return _salted(asked, user, salts).join(filed, [*seg, "_power", "_salt"]) \

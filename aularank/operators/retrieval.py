@@ -34,7 +34,7 @@ from aularank.fixed_values import (
     SOURCE_NONE,
 )
 from aularank.functions.columns import fmt_fixed, round_half_away, token_count
-from aularank.operators.vectors import top_k_dot
+from aularank.operators.vectors import top_k_dot, top_k_dot_cells
 from aularank.params import RouterParams
 from aularank.session import ensure_checkpoint_dir
 
@@ -284,7 +284,8 @@ def search_chunks(routed: DataFrame, queries: DataFrame, chunks: DataFrame, p: R
         gone = F.coalesce("_x", F.lit(0))
     target = F.when(F.coalesce("_n", F.lit(0)) > gone, F.col("kb")).otherwise(F.lit(p.general_kb))
     left = q.select(F.col("query_id").alias("id"), target.alias("group"), F.col("embedding").alias("vec"))
-    hits = top_k_dot(left, ch, p.chunk_top_k, p.block_rows, excluded)
+    hits = top_k_dot_cells(left, ch, p.chunk_top_k, p.cells, p.block_rows, excluded) if p.cells else \
+        top_k_dot(left, ch, p.chunk_top_k, p.block_rows, excluded)
     payload = chunks.select(F.col("chunk_id").alias("right_id"), "kb",
                             F.coalesce("text", F.lit("")).alias("text"),
                             F.coalesce("filename", F.lit("")).alias("filename"),

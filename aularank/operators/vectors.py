@@ -71,3 +71,71 @@ def top_k_dot(left: DataFrame, right: DataFrame, k: int, block_rows: int = 4096,
     hits = l_rows.unionByName(r_rows).groupBy("group", "lb", "rb").applyInPandas(_block_top_k(k), HIT_SCHEMA)
     w = Window.partitionBy("left_id").orderBy(F.col("score").desc(), F.col("right_id").asc())
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def centroid_index(right: DataFrame, cells: int, block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Rows filed under their nearest centroid, and the cells.
+
+    Centroids are about ``cells`` rows of each group, picked by the hash of their id (the smallest hash always).  Returns
+    ``(id, group, vec, cell)`` and ``(group, cell, centre, radius)``; ``cell`` is the centroid's id, ``radius`` at least the
+    distance of any of its rows.
+    """
+    pick = F.xxhash64("id", F.lit(13))
+    size = right.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.min_by("id", pick).alias("_first"))
+    chosen = right.join(size, "group").where(
+        (F.col("id") == F.col("_first")) | (F.pmod(pick, F.ceil(F.col("_n") / F.lit(cells))) == 0)).select("id", "group", "vec")
+    wide = lambda last: F.concat(F.transform("vec", lambda x: x.cast("double")), F.array(last)).alias("vec")
+    # |x - c|^2 = |x|^2 - 2 (x c - |c|^2 / 2): the nearest centroid has the largest product of the widened vectors.
+    near = top_k_dot(right.select("id", "group", wide(F.lit(1.0))), chosen.select("id", "group", wide(_square("vec") / -2)), 1, block_rows)
+    filed = right.join(near.select(F.col("left_id").alias("id"), F.col("right_id").alias("cell"), F.col("score").alias("_s")), "id")
+    norm = _square("vec")
+    # Slack for rounding: a radius may be too large, never too small.
+    far = F.sqrt(F.greatest(norm - 2 * F.col("_s"), F.lit(0.0))) + (F.sqrt(norm) + 1) * 1e-6
+    radius = filed.groupBy("group", "cell").agg(F.max(far).alias("radius"))
+    centres = chosen.select("group", F.col("id").alias("cell"), F.col("vec").alias("centre"))
+    return filed.drop("_s"), radius.join(centres, ["group", "cell"])
+
+
+def _square(vec: str):
+    return F.aggregate(vec, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+
+
+def cell_visits(left: DataFrame, index: DataFrame, cells: DataFrame, k: int, block_rows: int = 4096,
+                excluded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hits of both rounds and the (left_id, cell, round) visited; a cell of round 0 is one whose bound rules it out.
+
+    A row of a cell scores at most ``q c + |q| radius``.  Round 1 visits each query's cell of the largest bound; round 2 every
+    other cell whose bound reaches the k-th score of round 1 (all of them, where round 1 found fewer than k rows).
+    """
+    key = lambda: F.concat_ws("/", "group", F.col("cell").cast("string"))
+    rows = index.select("id", key().alias("group"), "vec").checkpoint()
+    centres = cells.select(F.col("cell").alias("id"), "group", F.col("centre").alias("vec"))
+    many = cells.groupBy("group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    near = top_k_dot(left, centres, int(many), block_rows).select("left_id", F.col("right_id").alias("cell"), F.col("score").alias("_qc"))
+    q = left.select(F.col("id").alias("left_id"), "group", "vec", F.sqrt(_square("vec")).alias("_q"))
+    pairs = near.join(q.drop("vec"), "left_id").join(cells.select("group", "cell", "radius"), ["group", "cell"])
+    bound = F.col("_qc") + F.col("_q") * F.col("radius") + (F.col("_q") + 1) * 1e-6
+    order = Window.partitionBy("left_id").orderBy(F.col("_b").desc(), F.col("cell").asc())
+    pairs = pairs.withColumn("_b", bound).withColumn("_r", F.row_number().over(order)).select("left_id", "group", "cell", "_b", "_r").checkpoint()
+    search = lambda p: top_k_dot(
+        p.join(q.select("left_id", "vec"), "left_id").select(F.col("left_id").alias("id"), key().alias("group"), "vec"), rows, k, block_rows, excluded)
+    first = search(pairs.where(F.col("_r") == 1)).checkpoint()
+    kth = first.where(F.col("rank") == k).select("left_id", F.col("score").alias("_t"))
+    round_ = F.when(F.col("_r") == 1, 1).when(F.col("_t").isNull() | (F.col("_b") >= F.col("_t")), 2).otherwise(0)
+    visits = pairs.join(kth, "left_id", "left").withColumn("round", round_)
+    hits = first.unionByName(search(visits.where(F.col("round") == 2).select("left_id", "group", "cell"))).drop("rank")
+    return hits, visits.select("left_id", "cell", "round")
+
+
+def top_k_dot_cells(left: DataFrame, right: DataFrame, k: int, cells: int, block_rows: int = 4096,
+                    excluded: DataFrame | None = None) -> DataFrame:
+    """``top_k_dot`` through a centroid index: the same rows, without the cells that a query's bound rules out.
+
+    A query is sent to the cells it visits instead of to every block of its collection.  It pays where vectors have clusters;
+    where they have none, every cell is visited and the assignment of rows to cells is extra work.  Vectors must be finite.
+    Left and right ids are unique.
+    """
+    index, found = centroid_index(right.select("id", "group", "vec"), cells, block_rows)
+    hits, _ = cell_visits(left.select("id", "group", "vec"), index.checkpoint(), found.checkpoint(), k, block_rows, excluded)
+    w = Window.partitionBy("left_id").orderBy(F.col("score").desc(), F.col("right_id").asc())
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

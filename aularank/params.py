@@ -63,3 +63,5 @@ class RouterParams:
     general_kb: str = "general"
     # Queries per block / chunks per block in the blocked dot-product search.
     block_rows: int = 4096
+    # Centroids per collection of the chunk search; 0: no index, every block is searched (the rows are the same).
+    cells: int = 0

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from aularank.plans import recommend as rp
 from aularank.sources import testdata
 from aularank.session import ensure_checkpoint_dir
 from aularank.sources.enrolments import clean_enrolments, read_files
+from aularank.streaming import metrics as mt
 
 PARAMS = RecommenderParams()
 FALLBACK_PARAMS = RecommenderParams(min_score=1.01)
@@ -234,6 +236,16 @@ def q_daily_metrics(spark, sf):
     return lg.daily_metrics(testdata.interactions(spark, sf))
 
 
+def q_daily_metrics_by_batch(spark, sf):
+    """STR-2: the report from the sums of four batches, the third run twice; two of them end in a base."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/daily-sums-{uuid.uuid4().hex}"
+    log = testdata.interactions(spark, sf)
+    for number in (0, 1, 2, 2, 3):
+        mt.merge_batch(log.where(F.pmod(F.col("id"), F.lit(4)) == number), path, number, base_every=2)
+    return mt.daily_report(spark, path)
+
+
 def q_committed_history(spark, sf):
     """SNK-3: the history of what was committed: a batch that ran again with half of its rows, one that ran once, and one
     that stopped between the two tables."""
@@ -365,6 +377,13 @@ def q_chunk_search(spark, sf):
     return hits
 
 
+def q_chunk_search_cells(spark, sf):
+    """VEC-7 through the centroid index."""
+    ensure_checkpoint_dir(spark)
+    qs, _, _, dec = _routing(spark, sf)
+    return rt.search_chunks(dec, qs, testdata.chunks(spark, sf), replace(ROUTER, cells=4))
+
+
 def q_context_text(spark, sf):
     _, _, hits = _search(spark, sf)
     return rt.context_text(hits).select("query_id", "context", "n_chunks")
@@ -424,6 +443,8 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_general": q_search_general,
     "node_index": q_node_index,
     "search_texts": q_search_texts,
+    "daily_metrics_by_batch": q_daily_metrics_by_batch,
+    "chunk_search_cells": q_chunk_search_cells,
 }
 
 _W = O.with_
@@ -541,6 +562,8 @@ SQL: dict[str, str] = {
  FROM documents WHERE doc_id % 3 <> 0""",
 }
 
+SQL["chunk_search_cells"] = SQL["chunk_search"]
+SQL["daily_metrics_by_batch"] = SQL["daily_metrics"]
 SQL["search_texts"] = O.SEARCH_TEXTS
 SQL["catalog_by_position"] = SQL["course_catalog"]
 SQL["profile_by_key"] = SQL["user_profile"]
