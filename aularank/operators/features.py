@@ -45,6 +45,11 @@ def course_catalog(enrol: DataFrame) -> DataFrame:
         F.sum("APROBACION").alias("TOTAL_APROBADOS"),
         F.avg("CALIFICACIONES").alias("CALIFICACION_PROM"),
     )
+    return catalog_scores(agg)
+
+
+def catalog_scores(agg: DataFrame) -> DataFrame:
+    """AGG-2, AGG-3: rates, popularity and novelty of a course's totals; novelty follows the newest year of all courses."""
     n = F.col("TOTAL_INSCRITOS")
     agg = agg.select(
         "*",
@@ -81,6 +86,10 @@ def user_profile(enrol: DataFrame) -> DataFrame:
         F.sum("CURSO_CULMINADO").alias("CURSOS_CULMINADOS"),
         F.sum("APROBACION").alias("CURSOS_APROBADOS"),
     )
+    return profile_rates(p)
+
+
+def profile_rates(p: DataFrame) -> DataFrame:
     return p.withColumn(
         "TASA_COMPLETITUD", round_half_away(safe_ratio(F.col("CURSOS_CULMINADOS"), F.col("TOTAL_CURSOS")), 4))
 
