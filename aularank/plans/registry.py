@@ -31,6 +31,7 @@ from aularank.sources import testdata
 from aularank.session import ensure_checkpoint_dir
 from aularank.sources.enrolments import clean_enrolments, read_files
 from aularank.streaming import metrics as mt
+from aularank.streaming.state import RecommenderState
 
 PARAMS = RecommenderParams()
 FALLBACK_PARAMS = RecommenderParams(min_score=1.01)
@@ -246,6 +247,24 @@ def q_daily_metrics_by_batch(spark, sf):
     return mt.daily_report(spark, path)
 
 
+def _folded(spark, sf):
+    """STR-1: the model from three batches of enrolments: nearly all, then two of one row in 200, the second with a base."""
+    rows = _enrol(spark, sf).withColumn("_part", F.pmod(F.col("ord"), F.lit(200)))
+    state = RecommenderState(spark, f"{ensure_checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}", rows.drop("_part"), PARAMS, buckets=8, base_every=3)
+    for number, part in enumerate((F.col("_part") > 1, F.col("_part") == 0, F.col("_part") == 1)):
+        state.fold(rows.where(part).drop("_part"), number)
+    return state.model()
+
+
+def q_neighbours_by_batches(spark, sf):
+    nb = _folded(spark, sf).neighbours
+    return nb.select(USER, "neighbour", round_half_away(F.col("sim"), 9).alias("sim"), "rank")
+
+
+def q_profile_by_batches(spark, sf):
+    return _folded(spark, sf).profile
+
+
 def q_committed_history(spark, sf):
     """SNK-3: the history of what was committed: a batch that ran again with half of its rows, one that ran once, and one
     that stopped between the two tables."""
@@ -445,6 +464,8 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_texts": q_search_texts,
     "daily_metrics_by_batch": q_daily_metrics_by_batch,
     "chunk_search_cells": q_chunk_search_cells,
+    "neighbours_by_batches": q_neighbours_by_batches,
+    "profile_by_batches": q_profile_by_batches,
 }
 
 _W = O.with_
@@ -567,4 +588,6 @@ SQL["daily_metrics_by_batch"] = SQL["daily_metrics"]
 SQL["search_texts"] = O.SEARCH_TEXTS
 SQL["catalog_by_position"] = SQL["course_catalog"]
 SQL["profile_by_key"] = SQL["user_profile"]
+SQL["neighbours_by_batches"] = SQL["user_neighbours"]
+SQL["profile_by_batches"] = SQL["user_profile"]
 SQL["committed_history"] = SQL["recommendation_history"].replace("WHERE ca.tarea", "WHERE (ca.id % 4 = 0 OR ca.id % 4 = 1) AND ca.tarea")
