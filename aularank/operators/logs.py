@@ -232,7 +232,7 @@ def lay_out(df: DataFrame, path: str, keys: Sequence[str], files: int = 64) -> N
     """LOG-3: a copy of a log table in which rows of one user, conversation or course lie in few files.
 
     Files follow a Z-curve over the hashes of ``keys``: each key gives its bits in turn, so equal values of any one key meet in
-    about ``files ** (1 - 1/len(keys))`` files, and Parquet's Bloom filters and dictionaries (with the sorted files' ranges) let an
+    about ``files ** (1 - 1/len(keys))`` files (more where cells do not end with files), and Parquet's Bloom filters and dictionaries (with the sorted files' ranges) let an
     ordinary ``where`` skip the others.  Cells are cut by time, so a user with a third of all rows fills files of equal size.
     Null keys lie together; an empty table gives a readable empty one; columns and repeated rows are kept as they are.
     """
