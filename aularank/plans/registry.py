@@ -248,10 +248,10 @@ def q_daily_metrics_by_batch(spark, sf):
 
 
 def _folded(spark, sf):
-    """STR-1: the model from three batches of enrolments: nearly all, then two of one row in 200, the second with a base."""
+    """STR-1: the model from three batches of enrolments: nearly all, then two small ones (the places in the source that end alike), the second with a base."""
     rows = _enrol(spark, sf).withColumn("_part", F.pmod(F.col("ord"), F.lit(200)))
     state = RecommenderState(spark, f"{ensure_checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}", rows.drop("_part"), PARAMS, buckets=8, base_every=3)
-    for number, part in enumerate((F.col("_part") > 1, F.col("_part") == 0, F.col("_part") == 1)):
+    for number, part in enumerate((~F.col("_part").isin(1, 2), F.col("_part") == 1, F.col("_part") == 2)):
         state.fold(rows.where(part).drop("_part"), number)
     return state.model()
 
