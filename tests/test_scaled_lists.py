@@ -1,11 +1,15 @@
 """Steps whose data moved must follow the input: neighbour lists, blocked search, first untaken, lists within reach."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from aularank.functions import ranking
-from aularank.operators import similarity, vectors
+from aularank.operators import scores, similarity, vectors
+from aularank.operators.features import COURSE, USER
 from aularank.plans import registry
 from test_misc_ops import brute_neighbours, skewed_ratings
 
@@ -83,3 +87,26 @@ def test_files_by_position_follow_the_rows(spark, tmp_path, monkeypatch):
     catalog = registry.q_catalog_by_position(spark, str(tmp_path))
     assert len(set(catalog.inputFiles())) == 12  # eight or fewer before, whatever the rows
     assert [(r.ID_OFERTA_FORMATIVA, r.TOTAL_INSCRITOS) for r in catalog.collect()] == [("1", 300)]
+
+
+def test_products_of_neighbours_travel_as_lists(spark):
+    rng = random.Random(8)
+    ids = [f"u{i}" for i in range(12)]
+    near = [(u, v, rng.random()) for u in ids for v in rng.sample(ids, 4) if u != v]
+    rated = [(u, f"c{j}", rng.randrange(0, 10) / 2) for u in ids for j in rng.sample(range(25), 9)] + [("u1", None, 2.0)]
+    held = [(u, c) for u, c, _ in rated if rng.random() < 0.7] + [(None, "c3"), ("u2", "elsewhere"), ("u3", None)]
+    df = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    out = scores.collaborative_scores(df(near, f"{USER} string, neighbour string, sim double"), df(rated, f"{USER} string, {COURSE} string, rating double"),
+                                      df(held, f"{USER} string, {COURSE} string"), 5)
+    want = {}
+    for u in ids:
+        sums = {}
+        for who, v, sim in near:
+            for w, c, r in rated:
+                if who == u and w == v and r > 0 and (c is None or (u, c) not in held):
+                    sums[c] = sums.get(c, 0.0) + sim * r
+        ranked = sorted((-round(s / max(sums.values()), 9), c or "") for c, s in sums.items())
+        want.update({(u, c, k + 1): -s for k, (s, c) in enumerate(ranked[:5])})
+    assert {(r[USER], r[COURSE] or "", r["rank"]): round(r["score"], 9) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(rf"hashpartitioning\({USER}#\d+, (_c|{COURSE})#", plan), plan  # sums need no shuffle of their own
