@@ -110,3 +110,21 @@ def test_products_of_neighbours_travel_as_lists(spark):
     assert {(r[USER], r[COURSE] or "", r["rank"]): round(r["score"], 9) for r in out.collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search(rf"hashpartitioning\({USER}#\d+, (_c|{COURSE})#", plan), plan  # sums need no shuffle of their own
+
+
+def test_nearest_of_some_users_equals_brute_force(spark):
+    rng = random.Random(3)
+    rated = {f"u{i}": {f"c{j}": rng.randrange(1, 10) / 2 for j in rng.sample(range(14), rng.randrange(1, 6))} for i in range(40)}
+    rated["twin"] = dict(rated["u7"])
+    n2 = {u: sum(x * x for x in own.values()) for u, own in rated.items()}
+    some = {"u7", "u8", "u9", "twin"}
+    rows = spark.createDataFrame([(u, c, x, n2[u]) for u, own in rated.items() for c, x in own.items()], f"{USER} string, {COURSE} string, rating double, n2 double")
+    mine = rows.where(rows[USER].isin(*some))
+    for asking, posted, left, right in ((mine, rows, some, rated), (rows, mine, rated, some)):
+        want = set()
+        for u in left:
+            sims = [(-sum(x * rated[v].get(c, 0.0) for c, x in rated[u].items()) / (n2[u] ** 0.5 * n2[v] ** 0.5), v) for v in right if v != u]
+            want |= {(u, v, k + 1) for k, (s, v) in enumerate(sorted(x for x in sims if x[0] < 0)[:5])}
+        out = similarity.nearest(asking, posted, 5)
+        assert {(r[USER], r["neighbour"], r["rank"]) for r in out.collect()} == want
+    assert similarity.nearest(mine.limit(0), rows, 5).count() == similarity.nearest(rows, mine.limit(0), 5).count() == 0
