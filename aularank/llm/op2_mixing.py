@@ -415,11 +415,19 @@ def count_paths(packed: DataFrame, size: int, p: LmParams) -> DataFrame:
 
 def answered(words: list[bytes], answers: pa.Table) -> Paths:
     """A batch's words with the counts of their contexts."""
-    order = np.argsort(answers["bucket"].to_numpy())
-    steps = [from_ipc(answers["body"][int(x)].as_py()) for x in order]
-    path = np.stack([np.concatenate([x[name].to_numpy() for x in steps]) for name in "abcdefghi"])
-    path[1:] = path[0] - np.cumsum(path[1:], axis=0)
-    return Paths(words, path)
+    own, at = Paths(words), 0
+    path = np.empty((9, len(own.every)), np.int32)  # counts of whole texts: 32 bits nearly always do
+    for i in np.argsort(answers["bucket"].to_numpy()):
+        part = from_ipc(answers["body"][int(i)].as_py())
+        if path.dtype == np.int32 and part.num_rows and pa.compute.max(part["a"]).as_py() >= 2**31:
+            path = path.astype(np.int64)
+        for j, name in enumerate("abcdefghi"):
+            path[j, at: at + part.num_rows] = part[name].to_numpy()
+        at += part.num_rows
+    for j in range(1, 9):
+        path[j] = path[j - 1] - path[j]
+    own.path = path
+    return own
 
 
 def learn_mixer(packed: DataFrame, paths: DataFrame) -> Mixer:

@@ -94,3 +94,14 @@ def test_empty_and_untrained(spark, docs_of):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = op2_mixing.score(docs_of([(only, "a b")])).first()
     assert r["held_out"] and r["train_tokens"] == 0 and r["base_score"] == 0 and r["n_known"] == 0
+
+
+def test_counts_of_a_batch_take_32_bits_where_they_fit():
+    words, pa = [b"one", b"on", b"two", b"\n"], op2_mixing.pa
+    for most, kind in ((3, np.int32), (2**31, np.int64)):
+        asked = op2_mixing.Paths(words, times=np.array([1, 2, most, 1]))
+        path = op2_mixing.path_counts(asked.every, asked.n)
+        steps = [path[0], *(path[:-1] - path[1:])]
+        bodies = [op2_mixing.to_ipc(pa.RecordBatch.from_arrays([pa.array(x[part]) for x in steps], list("abcdefghi"))) for part in (slice(0, 7), slice(7, None))]
+        got = op2_mixing.answered(words, pa.table([pa.array([1, 0]), pa.array(bodies[::-1], pa.binary())], ["bucket", "body"]))
+        assert got.path.dtype == kind and np.array_equal(got.path, path)
