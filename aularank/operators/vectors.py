@@ -2,7 +2,8 @@
 
 Left rows (queries) and right rows (nodes or chunks) carry a ``group`` (the collection).  Inside a group both sides
 are hashed into blocks of about ``SIDE_ROWS`` rows (``block_rows``, if that is more); the numbers of blocks come from a count per
-group that is part of the plan (no action runs while it is built, and one path serves every size).  Each (group, left block, right
+group that is part of the plan, so one path serves every size.  Pairs of blocks grow with the product of both sides, so their total
+is counted beforehand and dealt over as many tasks (``TASK_PAIRS`` a task): a task's rows do not grow with the input.  Each (group, left block, right
 block) is one ``applyInArrow`` group that multiplies the two dense blocks with numpy, ``block_rows`` left rows or fewer at a
 time, and keeps the top-k per left row.  A final window keeps the top-k per left row over all right blocks.  No group holds more
 than two blocks, a row is copied once for each block of the other side, and no (query, chunk) pair is shuffled.
@@ -15,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aularank.session import only_row
+
 HIT_SCHEMA = "left_id long, right_id long, score double"
 
 
 #: Rows of one side that a group holds at least, and products of one tile.
 SIDE_ROWS = 16_384
 TILE = 1 << 22
+#: Pairs of blocks that a task is dealt, about.
+TASK_PAIRS = 4
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
@@ -79,7 +84,11 @@ def top_k_dot(left: DataFrame, right: DataFrame, k: int, block_rows: int = 4096,
     l_rows = left.join(size, "group").select("id", "group", "vec", "skip", F.lit(0).alias("side"), own("bl").alias("lb"), each("br").alias("rb"))
     r_rows = right.join(size, "group").select("id", "group", "vec", F.lit(None).cast("array<long>").alias("skip"),
                                               F.lit(1).alias("side"), each("bl").alias("lb"), own("br").alias("rb"))
-    hits = l_rows.unionByName(r_rows).groupBy("group", "lb", "rb").applyInArrow(_block_top_k(k, block_rows), HIT_SCHEMA)
+    pairs = only_row(size.agg(F.sum(F.col("bl").cast("long") * F.col("br"))))[0] or 0
+    both, tasks = l_rows.unionByName(r_rows), -(-pairs // TASK_PAIRS)
+    if tasks > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        both = both.repartition(tasks, "group", "lb", "rb")
+    hits = both.groupBy("group", "lb", "rb").applyInArrow(_block_top_k(k, block_rows), HIT_SCHEMA)
     w = Window.partitionBy("left_id").orderBy(F.col("score").desc(), F.col("right_id").asc())
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

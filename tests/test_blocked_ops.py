@@ -42,3 +42,16 @@ def test_segment_positions_and_first_untaken(spark):
     s0 = [c for c in pdf[pdf.seg == "s0"].course if c not in (top3[0], top3[2])]
     assert got_u1 == s0[:2]
     assert len([r for r in fu if r.u == "u2"]) == 2
+
+
+def test_pairs_of_blocks_are_dealt_over_as_many_tasks(spark, monkeypatch):
+    from aularank.operators import vectors
+
+    monkeypatch.setattr(vectors, "SIDE_ROWS", 8)
+    rows = spark.range(400).selectExpr("id", "'g' as group", "array(cast(id % 17 as float), cast(id % 5 as float)) as vec")
+    hits = vectors.top_k_dot(rows, rows, 3, block_rows=8)
+    # 50 x 50 pairs of blocks: 625 tasks, however few partitions the session has.
+    assert "hashpartitioning(group" in hits._jdf.queryExecution().toString() and ", 625), REPARTITION" in hits._jdf.queryExecution().toString()
+    vec = [(i % 17, i % 5) for i in range(400)]
+    first = sorted(range(400), key=lambda j: (-(vec[7][0] * vec[j][0] + vec[7][1] * vec[j][1]), j))[:3]
+    assert [r["right_id"] for r in hits.where("left_id = 7").orderBy("rank").collect()] == first
